@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfold.llm import quantiles
-from quartzfold.sources.tables import table
+from quartzfold.llm import cube, mixing, packing, quantiles
+from quartzfold.llm.text import TOKEN, token_count
+from quartzfold.sources.tables import V_COLUMNS, table
 
 PERCENTILES = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
 EPSILON = 0.005
@@ -74,6 +75,114 @@ FROM (SELECT count(*) AS n FROM creditcard WHERE Amount IS NOT NULL AND NOT isna
 """
 
 
+# --- 4: samples with wanted category shares ----------------------------------
+
+
+def _draw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    identity = ["Time", *V_COLUMNS, "Amount"]
+    rows = table(spark, d, "creditcard").select("batch_id", F.col("Class").alias("category"), "row_id", *identity)
+    return cube.draw(rows, table(spark, d, "sample_target").withColumnRenamed("Class", "category"), identity)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Requests' classes of which less was drawn than needed."""
+    return _draw(spark, d)[1].where("drawn < need").select("request_id", F.col("category").alias("Class"))
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The transactions drawn for every request."""
+    return _draw(spark, d)[0].select("request_id", F.col("category").alias("Class"), "row_id")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Need, supply and drawn of every request and Class, with wanted and reached share."""
+    r = _draw(spark, d)[1]
+    return r.select("request_id", F.col("category").alias("Class"), "need", "supply", "drawn", F.round("target_share", 6).alias("target_share"), F.round("share", 6).alias("share"))
+
+
+_P4_NEEDS = f"""
+WITH pool AS (SELECT DISTINCT batch_id, Class, Time, {", ".join(V_COLUMNS)}, Amount FROM creditcard WHERE Class IS NOT NULL),
+supply AS (SELECT batch_id, Class, count(*) AS supply FROM pool GROUP BY ALL),
+needs AS (SELECT t.request_id, t.Class, t.target_share, greatest(t.min_rows, CAST(round(t.target_share * t.sample_size) AS BIGINT)) AS need, coalesce(s.supply, 0) AS supply
+FROM sample_target t LEFT JOIN supply s ON t.batch_id = s.batch_id AND t.Class = s.Class)
+"""
+P4_FOUND = _P4_NEEDS + "SELECT request_id, Class FROM needs WHERE supply < need"
+P4_REPORT = _P4_NEEDS + """
+SELECT request_id, Class, CAST(need AS BIGINT) AS need, supply, CAST(least(need, supply) AS BIGINT) AS drawn, round(target_share, 6) AS target_share,
+round(least(need, supply) / nullif(sum(least(need, supply)) OVER (PARTITION BY request_id), 0), 6) AS share FROM needs
+"""
+
+
+# --- 6: containers ------------------------------------------------------------
+
+CAPACITY = 1024
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents").select(F.col("doc_id").alias("id"), token_count(F.col("text")).alias("tokens")), CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be cut."""
+    return _packed(spark, d).groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every piece of every document."""
+    return _packed(spark, d).select("container_id", "doc_id", "piece", "token_from", "tokens")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers by the tokens they hold."""
+    held = _packed(spark, d).where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("tokens_held"))
+    return held.groupBy("tokens_held").agg(F.count("*").alias("containers"))
+
+
+P6_FOUND = f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{TOKEN}')) > {CAPACITY}"
+
+
+# --- 7: mixtures ---------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
+    return mixing.mix(docs, table(spark, d, "mix_target"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that fall short of their share of a plan."""
+    return _mixed(spark, d)[1].where("short").select("plan_id", "source")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every copy of every document in every plan's mixture."""
+    return _mixed(spark, d)[0].select("plan_id", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of every plan's sources."""
+    return _mixed(spark, d)[1].withColumns({c: F.round(c, 6) for c in ("target_share", "rate", "actual_share")})
+
+
+_P7_RATES = f"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) AS tokens FROM documents WHERE source IS NOT NULL),
+totals AS (SELECT source, sum(tokens) AS available FROM docs GROUP BY source),
+p AS (SELECT m.plan_id, m.source, m.target_share, m.max_repeats, CAST(coalesce(t.available, 0) AS BIGINT) AS available_tokens FROM mix_target m LEFT JOIN totals t ON m.source = t.source),
+once AS (SELECT plan_id, sum(available_tokens) AS t FROM (SELECT DISTINCT plan_id, source, available_tokens FROM p) GROUP BY plan_id),
+rates AS (SELECT p.*, least(CASE WHEN available_tokens = 0 THEN 0.0 ELSE target_share * t / available_tokens END, CAST(max_repeats AS DOUBLE)) AS rate,
+max_repeats * available_tokens < target_share * t AS short FROM p JOIN once ON p.plan_id = once.plan_id),
+mixed AS (SELECT r.plan_id, r.source, d.doc_id, d.tokens, CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('42:' || r.plan_id || ':' || d.doc_id), 1, 12) AS BIGINT) / 281474976710656.0 < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM docs d JOIN rates r ON d.source = r.source)
+"""
+P7_FOUND = _P7_RATES + "SELECT plan_id, source FROM rates WHERE short"
+P7_MIXTURE = _P7_RATES + "SELECT plan_id, source, doc_id, unnest(range(1, copies + 1))::INTEGER AS copy FROM mixed WHERE copies > 0"
+P7_REPORT = _P7_RATES + """, got AS (SELECT plan_id, source, sum(tokens * copies) AS n FROM mixed GROUP BY ALL),
+r AS (SELECT rates.*, CAST(coalesce(n, 0) AS BIGINT) AS mixed_tokens FROM rates LEFT JOIN got ON rates.plan_id = got.plan_id AND rates.source = got.source)
+SELECT plan_id, source, round(target_share, 6) AS target_share, available_tokens, round(rate, 6) AS rate, mixed_tokens,
+round(mixed_tokens / nullif(sum(mixed_tokens) OVER (PARTITION BY plan_id), 0), 6) AS actual_share, short FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
