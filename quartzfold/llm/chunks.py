@@ -158,8 +158,10 @@ def candidates(records: DataFrame, splits: DataFrame, fields: Sequence[str], nea
     only compared within one), train (BOOLEAN) and row_id.
     """
     names = list(near)
-    number = lambda c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")).alias(c)
-    ready = records.select("row_id", *[number(c) for c in [*fields, *names]]).dropna(subset=["row_id", *names])
+    known = F.lit(True)
+    for c in names:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    ready = records.where(known & F.col("row_id").isNotNull()).select("row_id", *fields, *names)
     normal = ready.mapInArrow(_normalise(len(fields), width, tolerance + 1e-9, [(w, t + 1e-9) for w, t in near.values()]), "row_id bigint, record binary")
     placed = splits.join(normal, "row_id").select("split", "train", "row_id", "record")
     chunk = materialize(placed.mapInArrow(_chunked(len(fields), frame, len(names)), "digest bigint, train boolean, row_id bigint, length int"), "chunks")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfold.llm import chunks, cube, mixing, packing, quantiles
+from quartzfold.llm import chunks, cube, gridcluster, mixing, packing, quantiles
 from quartzfold.llm.text import TOKEN, token_count
+from quartzfold.session import materialize
 from quartzfold.sources.tables import V_COLUMNS, table
 
 PERCENTILES = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
@@ -75,6 +76,33 @@ FROM (SELECT count(*) AS n FROM creditcard WHERE Amount IS NOT NULL AND NOT isna
 """
 
 
+# --- 3: clusters ---------------------------------------------------------------
+
+
+def _transaction_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return gridcluster.clusters(table(spark, d, "creditcard").withColumnRenamed("row_id", "id"), V_COLUMNS, radius=0.4, least=12)
+
+
+def _trial_clusters(spark: SparkSession, d: str) -> DataFrame:
+    history = table(spark, d, "hdbscan_grid_results_by_fold")
+    latest = history.groupBy("trial_id").agg(F.max_by(F.struct("run_id", "n_clusters", "n_noise_points"), F.struct("logged_at", "run_id", "n_clusters", "n_noise_points")).alias("r"))
+    return gridcluster.box_clusters(latest.select(F.col("trial_id").alias("id"), "r.*"), "run_id", {"n_clusters": 2, "n_noise_points": 200}, least=4)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the clusters of transactions and of grid trials."""
+    kinds = {"transaction": _transaction_clusters(spark, d), "trial": _trial_clusters(spark, d)}
+    a, b = (m.select(F.lit(kind).alias("record_kind"), "cluster_id", "member_id") for kind, m in kinds.items())
+    return a.unionByName(b)
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of every cluster."""
+    kinds = {"transaction": _transaction_clusters(spark, d), "trial": _trial_clusters(spark, d)}
+    a, b = (gridcluster.describe(materialize(m, "members")).withColumn("record_kind", F.lit(kind)) for kind, m in kinds.items())
+    return a.unionByName(b).select("record_kind", "cluster_id", "size", "typical_members", "densest_cell")
+
+
 # --- 4: samples with wanted category shares ----------------------------------
 
 
