@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfold.llm import chunks, cube, gridcluster, mixing, packing, quantiles
+from quartzfold.llm import chunks, cube, gridcluster, hashing, mixing, packing, quantiles
 from quartzfold.llm.text import TOKEN, token_count
 from quartzfold.session import materialize
 from quartzfold.sources.tables import V_COLUMNS, table
@@ -76,6 +77,29 @@ FROM (SELECT count(*) AS n FROM creditcard WHERE Amount IS NOT NULL AND NOT isna
 """
 
 
+# --- 2: similar transactions -----------------------------------------------------
+
+VECTOR = [*V_COLUMNS, "log_amount", "hour_sin", "hour_cos"]
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    angle = (F.col("Time") % 86400) / 3600 * (2 * math.pi / 24)
+    return table(spark, d, "creditcard").select(F.col("row_id").alias("id"), *V_COLUMNS, F.log1p("Amount").alias("log_amount"), F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar other transactions of each probe."""
+    vectors = _vectors(spark, d)
+    probes = vectors.join(table(spark, d, "knn_probe").select(F.col("row_id").alias("id")).distinct(), "id", "left_semi")
+    return hashing.similar(vectors, probes, VECTOR).select(F.col("query").alias("row_id_a"), F.col("id").alias("row_id_b"))
+
+
+def p2_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of all transactions, for every transaction whose id is divisible by 20."""
+    vectors = _vectors(spark, d)
+    return hashing.similar(vectors, vectors.where("id % 20 = 0"), VECTOR).select(F.col("query").alias("row_id"), "place", F.col("id").alias("similar_row_id"), "distance")
+
+
 # --- 3: clusters ---------------------------------------------------------------
 
 
