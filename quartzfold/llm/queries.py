@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfold.llm import chunks, cube, gridcluster, hashing, mixing, packing, quantiles
+from quartzfold.llm import chunks, cube, gridcluster, hashing, mixing, packing, quantiles, stuffing
 from quartzfold.llm.text import TOKEN, token_count
 from quartzfold.session import materialize
 from quartzfold.sources.tables import V_COLUMNS, table
@@ -281,6 +281,23 @@ round(mixed_tokens / nullif(sum(mixed_tokens) OVER (PARTITION BY plan_id), 0), 6
 """
 
 
+# --- 8: spam pages -------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("host"), "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages made of keywords, links or tags."""
+    return stuffing.spam_pages(_pages(spark, d)).select(F.col("id").alias("doc_id"))
+
+
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Words in lists, and in pieces stitched from other hosts' phrases, of every page."""
+    return stuffing.evidence(_pages(spark, d)).select(F.col("id").alias("doc_id"), "words", "listed", "replicated", F.round("share", 6).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
