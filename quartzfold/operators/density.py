@@ -198,3 +198,46 @@ def dbscan(x: np.ndarray, eps: float, m: int) -> tuple[np.ndarray, np.ndarray]:
             if d.min() <= eps * eps:
                 out[i] = label[core[np.argmin(d)]]
     return out, label >= 0
+
+
+def approximate_predict(x: np.ndarray, label: np.ndarray, rows: list[tuple[int, int, float, int]], core: np.ndarray, new: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Label and membership of unseen points by their best mutual-reachability neighbour among 2 m.
+
+    A point is noise if it would join before its neighbour's cluster was born.
+    """
+    root = min(p for p, *_ in rows)
+    birth = {c: lam for _, c, lam, _ in rows if c >= root}
+    up = {c: p for p, c, _, _ in rows if c >= root}
+    of = {c: p for p, c, _, _ in rows if c < root}
+    lam_of = {c: lam for _, c, lam, _ in rows if c < root}
+    # The chosen cluster of a label: the highest ancestor whose points all have that label.
+    start: dict[int, float] = {}
+    top: dict[int, float] = {}
+    for i, l in enumerate(label):
+        if l >= 0:
+            top[l] = max(top.get(l, 0.0), lam_of[i])
+    members: dict[int, set[int]] = {}
+    for i, l in enumerate(label):
+        k = of[i]
+        while k is not None:
+            members.setdefault(k, set()).add(int(l))
+            k = up.get(k)
+    for k, labels in members.items():
+        if len(labels) == 1 and k != root:
+            l = next(iter(labels))
+            if l >= 0:
+                start[l] = min(start.get(l, np.inf), birth[k])
+    out, prob = np.full(len(new), -1), np.zeros(len(new))
+    k = min(2 * m, len(x))
+    for i, p in enumerate(new):
+        d = np.sqrt(((x - p) ** 2).sum(1))
+        near = np.argpartition(d, k - 1)[:k]
+        own = np.sort(d[near])[min(m, k) - 1]
+        reach = np.maximum(np.maximum(d[near], core[near]), own)
+        j = near[np.argmin(reach)]
+        lam = 1 / reach.min() if reach.min() > 0 else np.inf
+        l = int(label[j])
+        if l >= 0 and lam >= start.get(l, 0.0):
+            out[i] = l
+            prob[i] = 1.0 if not np.isfinite(lam) or top[l] == 0 else min(lam, top[l]) / top[l] if np.isfinite(top[l]) else 0.0
+    return out, prob

@@ -50,9 +50,11 @@ def quantile_threshold(df: DataFrame, score: str, rate: float, by: Sequence[str]
 def weighted_threshold(df: DataFrame, score: str, weight: str, rate: float, by: Sequence[str] = ()) -> DataFrame:
     """The smallest score whose cumulative weight reaches the share 1 - rate of all weight."""
     g = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(weight).alias("w"))
-    total = g.groupBy(*by).agg(F.sum("w").alias("total"))
     c = running(g, by, "score", ["w"])
-    c = c.join(total, list(by)) if by else c.crossJoin(F.broadcast(total))  # one row of totals
+    if by:
+        c = c.join(g.groupBy(*by).agg(F.sum("w").alias("total")), list(by))
+    else:
+        c = c.withColumn("total", F.lit(g.agg(F.sum("w")).first()[0]).cast("double"))
     return c.where(F.col("cum_w") >= F.col("total") * (1 - rate) - 1e-9).groupBy(*by).agg(F.min("score").alias("threshold"))
 
 

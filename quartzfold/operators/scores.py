@@ -17,8 +17,10 @@ def percentile_rank(reference: DataFrame, values: DataFrame, column: str, by: Se
     r = reference.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias(k)).agg(F.count("*").alias("n"))
     v = values.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias(k)).distinct().withColumn("n", F.lit(0).cast("bigint"))
     steps = running(r.unionByName(v).groupBy(*by, k).agg(F.sum("n").alias("n")), by, k, ["n"])
-    total = steps.groupBy(*by).agg(F.max("cum_n").alias("__all"))
-    steps = steps.join(total, list(by)) if by else steps.crossJoin(F.broadcast(total))  # one row
+    if by:
+        steps = steps.join(r.groupBy(*by).agg(F.sum("n").alias("__all")), list(by), "left")
+    else:
+        steps = steps.withColumn("__all", F.lit(r.agg(F.sum("n")).first()[0]).cast("bigint"))
     share = steps.select(*by, k, F.try_divide("cum_n", "__all").alias(name))
     return values.withColumn(k, F.col(column).cast("double")).join(share, [*by, k], "left").drop(k)
 

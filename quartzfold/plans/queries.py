@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quartzfold.operators import density, evaluation, experiment, features, models, neighbors, reports, sampling, scores, statistics, validity
+from quartzfold.plans import pipeline
+from quartzfold.session import materialize
 from quartzfold.sources.tables import V_COLUMNS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,8 +49,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     """Events as rows of (row_id, seconds, Amount, Class)."""
     e = table(spark, d, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    start = e.agg(F.min(us).alias("start"))
-    return e.crossJoin(F.broadcast(start)).select(F.col("event_id").alias("row_id"), ((us - F.col("start")) / 1e6).alias("Time"), F.col("value").alias("Amount"), (F.col("event_type") == "error").cast("int").alias("Class"))  # one row
+    start = e.agg(F.min(us)).first()[0]
+    return e.select(F.col("event_id").alias("row_id"), ((us - F.lit(start)) / 1e6).alias("Time"), F.col("value").alias("Amount"), (F.col("event_type") == "error").cast("int").alias("Class"))
 
 
 EVENTS = "ev AS (SELECT event_id AS row_id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 1e6 AS Time, value AS Amount, CAST(event_type = 'error' AS INTEGER) AS Class FROM events)"
@@ -674,10 +676,9 @@ GRID_ROWS = "g AS (SELECT f.fold, c.combo_id FROM (SELECT DISTINCT fold FROM h)
 def pending_combos(spark, d):
     h = _history(spark, d).select("run_id", "fold", "combo_id").distinct()
     # The grid: a few values of fold and combo, gathered by name.
-    g = h.groupBy("run_id").agg(F.lit(1).alias("one")).drop("one")
-    f, c = (h.select(F.collect_set(k).alias(k)) for k in ("fold", "combo_id"))
-    full = g.crossJoin(F.broadcast(f.crossJoin(c)))  # one row
-    full = full.select("run_id", F.explode("fold").alias("fold"), "combo_id").select("run_id", "fold", F.explode("combo_id").alias("combo_id"))
+    folds_, combos = h.agg(F.sort_array(F.collect_set("fold")), F.sort_array(F.collect_set("combo_id"))).first()
+    full = h.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(f) for f in folds_])).alias("fold"))
+    full = full.select("run_id", "fold", F.explode(F.array(*[F.lit(c) for c in combos])).alias("combo_id"))
     return experiment.pending(full, h, ("run_id", "fold", "combo_id")).groupBy("run_id").agg(F.count("*").alias("pending"))
 
 
@@ -716,6 +717,32 @@ def gbt_outer_eval(spark, d):
     return _outer(spark, d, "boost", {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3})
 
 
+VECTOR_GRID = {"min_cluster_size": [5, 10], "min_samples": [5, 10]}
+
+
+def _vector_folds(spark, d):
+    """Vectors with two of five folds as validation and test part of each outer fold."""
+    v = sampling.stratified_folds(vectors(spark, d).withColumn("Class", (F.col("label") == 9).cast("int")), "Class", 5, key="id")
+    o = v.select("id", "vector", "Class", F.col("fold").alias("own"), F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("fold"))
+    return o.select("fold", "id", "vector", "Class", F.when(F.col("own") == F.col("fold"), "test").when(F.pmod(F.col("own"), F.lit(5)) + 1 == F.col("fold"), "val").otherwise("train").alias("part"))
+
+
+@query()
+def inner_cycle(spark, d):
+    """Every combination of the grid on every inner fold: clustering, validity, scores, metrics."""
+    return pipeline.trials(_vector_folds(spark, d).where("part <> 'test'"), experiment.grid(spark, VECTOR_GRID), 0.1).drop("train_time_min", "val_time_min")
+
+
+@query()
+def outer_cycle(spark, d):
+    """The inner cycle's best configuration on every outer fold, with mean and deviation."""
+    f = _vector_folds(spark, d)
+    history_ = materialize(pipeline.trials(f.where("part <> 'test'"), experiment.grid(spark, VECTOR_GRID), 0.1), "history")
+    best = experiment.best_of_winners(experiment.best_per_fold(history_, "disco_score"), "disco_score").select("combo_id", *VECTOR_GRID)
+    outer = pipeline.trials(f.where("part <> 'val'"), best, 0.1)
+    return pipeline.with_summary(outer.drop("train_time_min", "val_time_min"), ["disco_score", "precision", "recall", "f1", "auprc"])
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 CONFIG = "'mcs ' || min_cluster_size || ' | ms ' || min_samples"
