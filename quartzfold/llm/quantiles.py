@@ -223,7 +223,7 @@ def merge_summaries(summaries: DataFrame, levels: int = 1, budget: int | None =
 def regroup(summaries: DataFrame, schema: str, keys: Sequence[str]) -> DataFrame:
     """The summaries under a coarser key made of ``keys`` of the JSON key."""
     k = F.from_json("key", schema)
-    part = F.pmod(F.xxhash64("key"), F.lit(FAN_IN)).cast("int")
+    part = F.pmod(F.xxhash64("key"), F.lit(FAN_IN * FAN_IN)).cast("int")
     return summaries.select(F.to_json(F.struct(*[k[c].alias(c) for c in keys])).alias("key"), part.alias("part"), "n", "exact", "v", "lo", "hi")
 
 
