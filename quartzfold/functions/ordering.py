@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quartzfold.session import materialize
+
 #: Lanes of a running sum.
 LANES = 64
 
@@ -42,6 +44,7 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], d
 
     ``order`` must be numeric and unique within a group: aggregate ties first.
     """
+    df = materialize(df, "ordered")  # read three times below
     cuts = sorted(set(df.select(F.percentile_approx(order, [i / LANES for i in range(1, LANES)], 1000)).first()[0] or []))
     lane = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(order).cast("double"))) if cuts else F.lit(0)
     turn = F.desc if descending else F.asc

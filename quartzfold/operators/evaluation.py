@@ -42,9 +42,31 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     return steps.groupBy(*by).agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles per group: (by, quantiles). Nulls and NaN are left out.
+
+    By running counts over distinct values, so no task holds a group's values.
+    """
+    known = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    g = known.groupBy(*by, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("n"))
+    c = running(g, by, "__v", ["n"])
+    total = c.groupBy(*by).agg(F.max("cum_n").alias("__all"))
+    c = c.join(total, list(by)) if by else c.withColumn("__all", F.lit(total.first()[0]).cast("bigint"))
+    ends = []
+    for i, p in enumerate(probabilities):
+        at = (F.col("__all") - 1) * F.lit(float(p))
+        ends += [F.min(F.when(F.col("cum_n") > k, F.col("__v"))).alias(f"{n}{i}") for n, k in (("lo", F.floor(at)), ("hi", F.ceil(at)))]
+    found = c.groupBy(*by).agg(F.first("__all").alias("__all"), *ends).where("__all is not null")
+    between = []
+    for i, p in enumerate(probabilities):
+        at = (F.col("__all") - 1) * F.lit(float(p))
+        between.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (at - F.floor(at)))
+    return found.select(*by, F.array(*between).alias("quantiles"))
+
+
 def quantile_threshold(df: DataFrame, score: str, rate: float, by: Sequence[str] = ()) -> DataFrame:
     """The (1 - rate) quantile of the scores, linearly interpolated."""
-    return df.groupBy(*by).agg(F.percentile(score, F.lit(1 - rate)).alias("threshold"))
+    return exact_quantiles(df, score, [1 - rate], by).select(*by, F.col("quantiles")[0].alias("threshold"))
 
 
 def weighted_threshold(df: DataFrame, score: str, weight: str, rate: float, by: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzfold.functions.ordering import hash_rank
+from quartzfold.operators.evaluation import exact_quantiles
 from quartzfold.sources.tables import V_COLUMNS
 
 DERIVED = ["log_amount", "hour_sin", "hour_cos"]
@@ -60,8 +61,14 @@ def standard_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
 
 
 def robust_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
-    """Median and interquartile range, both exact."""
-    return _fit(train, columns, F.median, lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)))
+    """Median and interquartile range, both exact; a column without spread is only centred."""
+    location, scale = [], []
+    for c in columns:
+        r = exact_quantiles(train, c, [0.25, 0.5, 0.75]).first()
+        q = r[0] if r else [0.0, 0.0, 0.0]
+        location.append(q[1])
+        scale.append((q[2] - q[0]) or 1.0)
+    return Scaler(tuple(columns), tuple(location), tuple(scale))
 
 
 def centre_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:

@@ -293,7 +293,7 @@ FROM (SELECT DISTINCT fold FROM folds) y, (SELECT unnest([1, 2, 3, 4]) AS i, unn
 a AS (SELECT f.fold, rate, Class, score >= threshold AS p FROM folds f JOIN t ON f.fold = t.fold), c AS (SELECT fold, rate, {CONFUSION} FROM a GROUP BY ALL) SELECT fold, rate, TP, FP, FN, TN, {DERIVED} FROM c""")
 def alert_metrics_by_rate(spark, d):
     # All rates from one pass over the training scores and one over the evaluated ones.
-    t = outer_training(spark, d).groupBy(F.col("outer_fold").alias("fold")).agg(F.percentile("score", F.array(*[F.lit(1 - r) for r in RATES])).alias("t"))
+    t = evaluation.exact_quantiles(outer_training(spark, d), "score", [1 - r for r in RATES], ["outer_fold"]).select(F.col("outer_fold").alias("fold"), F.col("quantiles").alias("t"))
     x = folds(spark, d).select("fold", "Class", "score").join(t, "fold").select("fold", "Class", "score", F.explode(F.arrays_zip(F.array(*[F.lit(r) for r in RATES]).alias("rate"), "t")).alias("z"))
     x = x.select("fold", "Class", F.col("z")["rate"].alias("rate"), (F.col("score") >= F.col("z")["t"]).cast("int").alias("p"))
     return rounded(evaluation.confusion(x, "p", "Class", ["fold", "rate"]), "precision", "recall", "f1")
@@ -341,12 +341,13 @@ SELECT m.fold, TP, FP, FN, precision, recall, f1, round(average_precision, 6) AS
 @query(NESTED)
 def nested_cv_center_distance(spark, d):
     """Folds, scaling on training, distance from the centre, threshold from training, metrics on the rest."""
-    e = sampling.stratified_folds(events(spark, d).where("Amount is not null"), "Class", 5).withColumn("x", F.log1p(F.abs("Amount")))
+    e = materialize(sampling.stratified_folds(events(spark, d).where("Amount is not null"), "Class", 5).withColumn("x", F.log1p(F.abs("Amount"))), "folds")
     o = e.select("*", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("outer_fold"))
     s = o.where("fold <> outer_fold").groupBy("outer_fold").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     z = o.join(s, "outer_fold").withColumn("score", F.round(F.abs((F.col("x") - F.col("m")) / F.col("s")), 9))
     t = evaluation.quantile_threshold(z.where("fold <> outer_fold"), "score", 0.05, ["outer_fold"])
     a = z.where("fold = outer_fold").drop("outer_fold").join(t.withColumnRenamed("outer_fold", "fold"), "fold").withColumn("p", (F.col("score") >= F.col("threshold")).cast("int"))
+    a = materialize(a, "alerts")
     m = evaluation.confusion(a, "p", "Class", ["fold"]).drop("TN").join(evaluation.average_precision(a, "score", "Class", ["fold"]).drop("positives"), "fold")
     return rounded(m, "precision", "recall", "f1", "average_precision")
 
@@ -489,7 +490,7 @@ def class_histogram(spark, d):
 SELECT Class, unnest([0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100]) AS percent, round(unnest(q), 6) AS amount FROM q""")
 def quantile_curve(spark, d):
     p = [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100]
-    q = base(spark, d).groupBy("Class").agg(F.percentile("Amount", F.array(*[F.lit(i / 100) for i in p])).alias("q"))
+    q = evaluation.exact_quantiles(base(spark, d), "Amount", [i / 100 for i in p], ["Class"]).withColumnRenamed("quantiles", "q")
     z = q.select("Class", F.explode(F.arrays_zip(F.array(*[F.lit(i) for i in p]).alias("percent"), F.col("q").alias("amount"))).alias("z"))
     return rounded(z.select("Class", F.col("z")["percent"].alias("percent"), F.col("z")["amount"].alias("amount")), "amount")
 
