@@ -16,6 +16,8 @@ from quartzfold.operators.evaluation import exact_quantiles
 from quartzfold.sources.tables import V_COLUMNS
 
 DERIVED = ["log_amount", "hour_sin", "hour_cos"]
+#: Tasks that join the partitions' Gram matrices.
+JOINS = 16
 
 
 def hour(time: str = "Time") -> Column:
@@ -79,7 +81,7 @@ def centre_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, sample covariance and number of rows without nulls, by one pass over partial Gram matrices.
 
-    Rows are shifted by the first row of each batch, so large means cost no digits.
+    Means and centred products are joined pairwise, so large means cost no digits.
     """
     p = len(columns)
 
@@ -96,14 +98,23 @@ def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.nd
                 n += k
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean.tolist()]), pa.array([m2.ravel().tolist()])], names=["n", "mean", "m2"])
 
-    # One row of p + p*p numbers per partition, joined in a tree.
-    parts = df.select(*columns).mapInArrow(gram, "n bigint, mean array<double>, m2 array<double>").where("n > 0").collect()
-    n, mean, m2 = 0, np.zeros(p), np.zeros((p, p))
-    for r in parts:
-        d = np.array(r["mean"]) - mean
-        m2 += np.array(r["m2"]).reshape(p, p) + np.outer(d, d) * n * r["n"] / (n + r["n"])
-        mean += d * r["n"] / (n + r["n"])
-        n += r["n"]
+    def joined(rows):
+        n, mean, m2 = 0, np.zeros(p), np.zeros((p, p))
+        for k, m, g in rows:
+            d = np.asarray(m) - mean
+            m2 += np.asarray(g).reshape(p, p) + np.outer(d, d) * n * k / (n + k)
+            mean += d * k / (n + k)
+            n += k
+        return n, mean, m2
+
+    def join(batches):
+        n, mean, m2 = joined(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean.tolist()]), pa.array([m2.ravel().tolist()])], names=["n", "mean", "m2"])
+
+    # One small row per partition, joined in JOINS tasks before the driver joins the rest.
+    schema = "n bigint, mean array<double>, m2 array<double>"
+    parts = df.select(*columns).mapInArrow(gram, schema).where("n > 0").repartition(JOINS).mapInArrow(join, schema).where("n > 0")
+    n, mean, m2 = joined((r["n"], r["mean"], r["m2"]) for r in parts.collect())
     return mean, m2 / max(n - 1, 1), n
 
 
