@@ -1,10 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
 A page is cut into pieces at line breaks and ends of sentences. Words of links
-(with their labels) and of tags are list words as such. Any other piece is
-measured for list density: the share of function words and how often its word
-pairs recur. Lists of members voting or present, tables of numbers and short
-pieces are set aside. What looks like a list of keywords without being decided
+(with their labels), of tags and of product items (code, goods, price) are list
+words as such. Any other piece is measured for list density: the share of
+function words and how often its word pairs recur. Lists of members voting or
+present, tables most of whose cells are numbers and short pieces are set aside. What looks like a list of keywords without being decided
 by density alone is decided by replication: five-word phrases of such pieces are
 exploded and their distinct hosts are counted over the whole crawl. A page is
 flagged if more than half of its words are in lists.
@@ -48,7 +48,12 @@ ANCHOR = re.compile(r"<a\b[^>]*>.*?</a\s*>", re.I | re.S)
 LINK = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*", re.I)
 MARKED = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)")
 TAG = re.compile(r"(?<!\w)#\w+")
+#: A product item: a code, the goods and a price; after the word SKU the price may be missing.
+GOODS = r"(?:[^\S\n]+[^\W\d_][\w'’-]*)"
+PRICE = r"[^\S\n]+[$€£]?\d+[.,]\d{2}(?!\w)"
+PRODUCT = re.compile(rf"(?<![\w-])(?:(?:SKU[^\S\n]+)?[^\W\d_]\w*-\d+{GOODS}{{1,6}}{PRICE}|SKU[^\S\n]+[\w-]*\d[\w-]*{GOODS}{{0,6}}(?:{PRICE}|(?=[^\S\n]*(?:[\n;|]|$))))")
 WORD = re.compile(r"[^\W_]+")
+NUMERIC = re.compile(r"[\s\d.,/%+–-]*\d[\s\d.,/%+–-]*")
 
 
 def _is_roll(piece: str) -> bool:
@@ -66,7 +71,16 @@ def _is_item(piece: str) -> bool:
 
 
 def _is_table(piece: str, words: list[str]) -> bool:
-    return piece.count("|") >= 2 or sum(w.isdigit() for w in words) > 0.3 * len(words)
+    """A row of a table: most of its cells, or of its words, are numbers."""
+    cells = [c for c in re.split(r"[|;:\t]", re.sub(r"^\s*\d+[.)]\s", "", piece)) if c.strip()]
+    numbers = sum(NUMERIC.fullmatch(c) is not None for c in cells)
+    return (len(cells) > 1 and numbers >= len(cells) / 2) or sum(w.isdigit() for w in words) > len(words) / 2
+
+
+def _heads(pieces: list[str], i: int) -> bool:
+    """The head of a table: as many cells as the table's row below it."""
+    bars = pieces[i].count("|")
+    return bars > 0 and i + 1 < len(pieces) and pieces[i + 1].count("|") == bars and _is_table(pieces[i + 1], WORD.findall(pieces[i + 1]))
 
 
 def measure(text: str | None) -> tuple[int, int, list[tuple[int, list[int]]]]:
@@ -80,6 +94,10 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, list[int]]]]:
             # A link counts as the words of its label, at least as one.
             listed += sum(max(1, len(re.sub(r"<[^>]*>|\([^)]*\)", " ", m).split())) for m in found)
             text = pattern.sub(" ", text)
+    items = PRODUCT.findall(text)
+    if items:
+        listed += sum(len(WORD.findall(m)) for m in items)
+        text = PRODUCT.sub(" ", text)
     if LINK.search(text):
         lines = []
         for line in text.split("\n"):
@@ -93,12 +111,13 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, list[int]]]]:
                 lines.append(rest)
         text = "\n".join(lines)
     total, doubt = listed, []
-    for piece in PIECES.split(text):
+    pieces = PIECES.split(text)
+    for i, piece in enumerate(pieces):
         words = [w.lower() for w in WORD.findall(piece)]
         # Letters parted by marks are one word.
         n = len(words) if sum(len(w) == 1 for w in words) <= len(words) / 2 else max(1, len(piece.split()))
         total += n
-        if len(words) < LEAST_WORDS or _is_item(piece) or _is_table(piece, words) or _is_roll(piece):
+        if len(words) < LEAST_WORDS or _is_item(piece) or _is_table(piece, words) or _heads(pieces, i) or _is_roll(piece):
             continue
         function = sum(w in FUNCTION_WORDS for w in words) / len(words)
         pairs = list(zip(words, words[1:]))

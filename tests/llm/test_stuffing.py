@@ -34,3 +34,16 @@ def test_replication_decides_pieces_in_doubt(spark):
     rows = [(1, piece, "a"), (2, piece, "b"), (3, piece, "c"), (4, own, "a"), (5, own, "a")]
     got = {r["id"]: r["replicated"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
     assert got[1] > 0 and got[2] > 0 and got[4] == got[5] == 0
+
+
+def share(text):
+    total, listed, _ = stuffing.measure(text)
+    return listed / total
+
+
+def test_product_items_and_lists_between_bars():
+    items = [f"SKU DOUBOX-{1400 + i} {g} olive {i}.99" for i, g in enumerate(("casino bonus", "e-books", "roof tiles", "tyres") * 3)]
+    assert all(share(between.join(items)) > 0.9 for between in ("\n", " | ", "; "))
+    assert share("free replica | best roof tiles | barato slimming tea | best roof tiles | free replica | barato slimming tea | best roof tiles") == 1
+    assert share("Budget of the ministry | spent | left | total\n" + "\n".join(f"harbour levy | {i} | 95 | 411" for i in range(9))) == 0
+    assert share("\n".join(f"{i}) 3/{i} ; 9.{i}" for i in range(9))) == 0
