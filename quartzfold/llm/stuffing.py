@@ -4,7 +4,9 @@ A page is cut into pieces at line breaks and ends of sentences. Words of links
 (with their labels), of tags and of product items (code, goods, price) are list
 words as such. Any other piece is measured for list density: the share of
 function words and how often its word pairs recur. Lists of members voting or
-present, tables most of whose cells are numbers and short pieces are set aside. What looks like a list of keywords without being decided
+present, items of agendas and tables most of whose cells are numbers are set
+aside. Short lines in a row are measured as one piece, and so are short
+sentences in a row, which are a list only if their word pairs recur. What looks like a list of keywords without being decided
 by density alone is decided by replication: five-word phrases of such pieces are
 exploded and their distinct hosts are counted over the whole crawl. A page is
 flagged if more than half of its words are in lists.
@@ -34,6 +36,8 @@ FUNCTION_WORDS = frozenset(
 LEAST_WORDS = 5
 #: Words next to a link that are its label, if they are no sentence.
 LABEL = 8
+#: Lines without an end of sentence of at most so many words are joined.
+SHORT = 8
 #: Below this share of function words a piece is a list; below the second it may be one.
 FEW, SOME = 0.06, 0.34
 #: From this share of recurring word pairs on a piece is a list; from the second on it may be one.
@@ -66,8 +70,44 @@ def _is_roll(piece: str) -> bool:
 
 
 def _is_item(piece: str) -> bool:
-    """An item of a numbered list, as agendas have them."""
-    return re.match(r"\s*\d+[.)]\s", piece) is not None
+    """An item of an agenda: numbered, with number/year in brackets at its end."""
+    return re.match(r"\s*\d+[.)]\s.*\([^()]*\d+/\d+\)\s*\.?\s*$", piece, re.S) is not None
+
+
+def _is_names(lines: list[str]) -> bool:
+    """Names, one a line: nearly all lines are two or more capitalised words."""
+    names = sum(1 for i in lines if len(i.split()) > 1 and all(w[:1].isupper() for w in i.split()))
+    return names >= 0.7 * len(lines)
+
+
+def _runs(pieces: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """Pieces in a row that are measured together: (kind, pieces).
+
+    A run is of lines without an end of sentence ("lines"), or of sentences too
+    short to be measured ("sentences"). Interjections and remarks in brackets,
+    rows of tables and items of agendas stand alone ("table" if not measured).
+    """
+    run, before = [], ""
+    for i, piece in enumerate(pieces):
+        words = WORD.findall(piece)
+        if not words:
+            continue
+        bare = piece.strip()
+        if _is_item(piece) or _is_table(piece, words) or _heads(pieces, i):
+            kind = "table"
+        elif bare[-1] in ")]" or bare[0] in "([–—-":
+            kind = "piece"
+        elif bare[-1] not in ".!?…:" and len(words) <= SHORT and not _is_roll(piece):
+            kind = "lines"
+        else:
+            kind = "sentences" if len(words) < LEAST_WORDS else "piece"
+        if run and (kind != before or kind in ("table", "piece")):
+            yield before, run
+            run = []
+        run.append(piece)
+        before = kind
+    if run:
+        yield before, run
 
 
 def _is_table(piece: str, words: list[str]) -> bool:
@@ -100,28 +140,42 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, list[int]]]]:
         text = PRODUCT.sub(" ", text)
     if LINK.search(text):
         lines = []
-        for line in text.split("\n"):
+        rows = text.split("\n")
+        alone = [bool(LINK.search(r)) and not WORD.search(LINK.sub(" ", r)) for r in rows]
+        for i, line in enumerate(rows):
             links = len(LINK.findall(line))
             rest = LINK.sub(" ", line)
             around = WORD.findall(rest)
             if links and len(around) <= LABEL * links and not re.search(r"[.!?]", rest):
                 listed += links + len(around)
+            elif not links and 0 < len(around) < LEAST_WORDS and (alone[i - 1 : i] == [True] or alone[i + 1 : i + 2] == [True]) and not re.search(r"[.!?…:)\]]\s*$", line):
+                # A label on the line before or after its link.
+                listed += len(around)
             else:
                 listed += links
                 lines.append(rest)
         text = "\n".join(lines)
     total, doubt = listed, []
-    pieces = PIECES.split(text)
-    for i, piece in enumerate(pieces):
+    for kind, run in _runs(PIECES.split(text)):
+        if kind == "lines":
+            # Numbers of the lines of a numbered list are not part of what recurs.
+            measured = " ".join(re.sub(r"^\s*\d+[.)]\s", " ", r) for r in run)
+        else:
+            measured = " ".join(run)
+        piece = " ".join(run)
         words = [w.lower() for w in WORD.findall(piece)]
         # Letters parted by marks are one word.
         n = len(words) if sum(len(w) == 1 for w in words) <= len(words) / 2 else max(1, len(piece.split()))
         total += n
-        if len(words) < LEAST_WORDS or _is_item(piece) or _is_table(piece, words) or _heads(pieces, i) or _is_roll(piece):
+        words = [w.lower() for w in WORD.findall(measured)]
+        if kind == "table" or len(words) < LEAST_WORDS or _is_roll(piece) or (kind == "lines" and len(run) > 1 and _is_names(run)):
             continue
         function = sum(w in FUNCTION_WORDS for w in words) / len(words)
         pairs = list(zip(words, words[1:]))
         recur = 1 - len(set(pairs)) / len(pairs)
+        if kind == "sentences" and recur < OFTEN:
+            # Formulas of the chair: short sentences that do not recur.
+            continue
         if function < FEW or (recur >= OFTEN and function < SOME):
             listed += n
         elif function < SOME / 2 or (recur >= SOMETIMES and function < SOME):

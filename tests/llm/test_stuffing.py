@@ -47,3 +47,13 @@ def test_product_items_and_lists_between_bars():
     assert share("free replica | best roof tiles | barato slimming tea | best roof tiles | free replica | barato slimming tea | best roof tiles") == 1
     assert share("Budget of the ministry | spent | left | total\n" + "\n".join(f"harbour levy | {i} | 95 | 411" for i in range(9))) == 0
     assert share("\n".join(f"{i}) 3/{i} ; 9.{i}" for i in range(9))) == 0
+
+
+def test_short_lines_and_sentences_are_joined():
+    goods = ["best tyres", "tyres Glaepeim", "online garden lamps", "slimming tea Soudixford", "buy phone cases", "water filters Trykom-sur-Vey"] * 4
+    assert share("\n".join(goods)) == 1
+    assert share("\n".join(f"{i}. {g}" for i, g in enumerate(goods))) == 1
+    assert share(" ".join(["Buy loans.", "Loans online.", "Loans?  Loans!", "Cheap loans here.", "Best loans."] * 5)) == 1
+    assert share("best loans\nwww.site.test/a\ncheap tyres\nwww.tyres.test/b\n") == 1
+    assert share("(Applause)\nWer stimmt dafür? Die Gegenprobe! Enthaltungen?\n(Heiterkeit)\n– Hear, hear!\n– Hear, hear!\n– Hear, hear!") == 0
+    assert share("\n".join(f"{a} {b}" for a in ("Anna", "Bo", "Cy") for b in ("Kay", "Lom", "Mun"))) == 0
