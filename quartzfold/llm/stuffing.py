@@ -7,9 +7,9 @@ function words and how often its word pairs recur. Lists of members voting or
 present, items of agendas and tables most of whose cells are numbers are set
 aside. Short lines in a row are measured as one piece, and so are short
 sentences in a row, which are a list only if their word pairs recur. What looks like a list of keywords without being decided
-by density alone is decided by replication: five-word phrases of such pieces are
-exploded and their distinct hosts are counted over the whole crawl. A page is
-flagged if more than half of its words are in lists.
+by density alone is decided by replication: the five-word phrases of all pieces,
+whatever their density, are exploded and their distinct hosts are counted over
+the whole crawl. A page is flagged if more than half of its words are in lists.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ PHRASE, HOSTS = 5, 2
 #: Share of a page's words.
 MOST = 0.5
 
-PIECES = re.compile(r"(?<=[^\W\d][.!?])\s+|(?<=[)\]][.!?])\s+|\n+")
+PIECES = re.compile(r"(?<=[^\W\d][.!?])\s+|(?<=[)\]][.!?])\s+|(?<=\s[!?])\s+|\n+")
 ANCHOR = re.compile(r"<a\b[^>]*>.*?</a\s*>", re.I | re.S)
 LINK = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*", re.I)
 MARKED = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)")
@@ -123,20 +123,44 @@ def _heads(pieces: list[str], i: int) -> bool:
     return bars > 0 and i + 1 < len(pieces) and pieces[i + 1].count("|") == bars and _is_table(pieces[i + 1], WORD.findall(pieces[i + 1]))
 
 
-def measure(text: str | None) -> tuple[int, int, list[tuple[int, list[int]]]]:
-    """Words, list words, and the pieces in doubt: (words, hashes of their phrases)."""
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(text)]
+
+
+#: Odd multipliers by which the hashes of a phrase's words are added up, modulo 2^64.
+PLACES = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(PHRASE)], np.uint64)
+
+
+def phrases(words: list[str]) -> np.ndarray:
+    """Hashes of all phrases of a piece, in order."""
+    if len(words) < PHRASE:
+        return np.zeros(0, np.int64)
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    n = len(words) - PHRASE + 1
+    return sum(h[k : k + n] * PLACES[k] for k in range(PHRASE)).view(np.int64)
+
+
+def measure(text: str | None, others: list[np.ndarray] | None = None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
+    """Words, list words, and the pieces in doubt: (words, hashes of their phrases).
+
+    The phrases of all other pieces are appended to ``others``, if given.
+    """
     if not text:
         return 0, 0, []
+    others = [] if others is None else others
     listed = 0
     for pattern in (ANCHOR, MARKED, TAG):
         found = pattern.findall(text)
         if found:
             # A link counts as the words of its label, at least as one.
-            listed += sum(max(1, len(re.sub(r"<[^>]*>|\([^)]*\)", " ", m).split())) for m in found)
+            labels = [re.sub(r"<[^>]*>|\([^)]*\)", " ", m) for m in found]
+            listed += sum(max(1, len(m.split())) for m in labels)
+            others += [phrases(_words(m)) for m in labels]
             text = pattern.sub(" ", text)
     items = PRODUCT.findall(text)
     if items:
         listed += sum(len(WORD.findall(m)) for m in items)
+        others += [phrases(_words(m)) for m in items]
         text = PRODUCT.sub(" ", text)
     if LINK.search(text):
         lines = []
@@ -148,6 +172,7 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, list[int]]]]:
             around = WORD.findall(rest)
             if links and len(around) <= LABEL * links and not re.search(r"[.!?]", rest):
                 listed += links + len(around)
+                others.append(phrases(_words(rest)))
             elif not links and 0 < len(around) < LEAST_WORDS and (alone[i - 1 : i] == [True] or alone[i + 1 : i + 2] == [True]) and not re.search(r"[.!?…:)\]]\s*$", line):
                 # A label on the line before or after its link.
                 listed += len(around)
@@ -163,50 +188,66 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, list[int]]]]:
         else:
             measured = " ".join(run)
         piece = " ".join(run)
-        words = [w.lower() for w in WORD.findall(piece)]
+        words = _words(piece)
         # Letters parted by marks are one word.
         n = len(words) if sum(len(w) == 1 for w in words) <= len(words) / 2 else max(1, len(piece.split()))
         total += n
-        words = [w.lower() for w in WORD.findall(measured)]
+        words = _words(measured)
+        hashes = phrases(words)
         if kind == "table" or len(words) < LEAST_WORDS or _is_roll(piece) or (kind == "lines" and len(run) > 1 and _is_names(run)):
+            others.append(hashes)
             continue
         function = sum(w in FUNCTION_WORDS for w in words) / len(words)
         pairs = list(zip(words, words[1:]))
         recur = 1 - len(set(pairs)) / len(pairs)
         if kind == "sentences" and recur < OFTEN:
             # Formulas of the chair: short sentences that do not recur.
+            others.append(hashes)
             continue
         if function < FEW or (recur >= OFTEN and function < SOME):
             listed += n
+            others.append(hashes)
         elif function < SOME / 2 or (recur >= SOMETIMES and function < SOME):
-            doubt.append((n, [xxhash.xxh3_64_intdigest(" ".join(words[i : i + PHRASE])) for i in range(len(words) - PHRASE + 1)]))
+            doubt.append((n, hashes))
+        else:
+            others.append(hashes)
     return total, listed, doubt
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [measure(t) for t in b.column("text").to_pylist()]
-        doubt = [[{"words": n, "phrases": np.array(p, np.uint64).view(np.int64).tolist()} for n, p in r[2]] for r in rows]
+        rows, others = [], []
+        for t in b.column("text").to_pylist():
+            rest: list[np.ndarray] = []
+            rows.append(measure(t, rest))
+            # A host counts once for a phrase, however often a page has it.
+            others.append(np.unique(np.concatenate(rest)) if rest else np.zeros(0, np.int64))
+        doubt = [[{"words": n, "phrases": p.tolist()} for n, p in r[2]] for r in rows]
         kind = pa.list_(pa.struct([("words", pa.int32()), ("phrases", pa.list_(pa.int64()))]))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(doubt, kind)], names=["id", "host", "words", "listed", "doubt"])
+        ends = np.cumsum([0, *[len(o) for o in others]], dtype=np.int32)
+        rest_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *others])))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(doubt, kind), rest_], names=["id", "host", "words", "listed", "doubt", "others"])
 
 
 def evidence(pages: DataFrame) -> DataFrame:
     """List words of every page: (id, words, listed, replicated, share).
 
     ``pages`` has a unique BIGINT ``id``, ``text`` and ``host``. ``replicated``
-    are words of pieces in doubt most of whose phrases stand on other hosts too;
-    a null host counts as one host. A null or empty text has share 0. An empty
+    are words of pieces in doubt most of whose phrases stand on other hosts too,
+    in whatever kind of piece; a null host counts as one host. A null or empty text has share 0. An empty
     table gives no rows.
     """
-    schema = "id bigint, host string, words int, listed int, doubt array<struct<words:int,phrases:array<bigint>>>"
+    schema = "id bigint, host string, words int, listed int, doubt array<struct<words:int,phrases:array<bigint>>>, others array<bigint>"
     measured = materialize(pages.select("id", F.coalesce("host", F.lit("")).alias("host"), "text").mapInArrow(_measured, schema), "measured")
     pieces = measured.select("id", "host", F.posexplode("doubt").alias("piece", "d")).select("id", "host", "piece", F.col("d.words").alias("n"), F.explode("d.phrases").alias("phrase"))
-    phrases = pieces.groupBy("id", "host", "piece", "n", "phrase").agg(F.count("*").alias("times"))
-    hosts = phrases.groupBy("phrase", "host").agg(F.lit(1).alias("one")).groupBy("phrase").agg(F.count("*").alias("hosts"))
+    counted = pieces.groupBy("id", "host", "piece", "n", "phrase").agg(F.count("*").alias("times"))
+    # Counts are needed for the phrases of pieces in doubt only, but over all pieces of the crawl.
+    everywhere = measured.select("host", F.explode("others").alias("phrase")).join(counted.select("phrase").distinct(), "phrase", "left_semi")
+    everywhere = everywhere.select("phrase", "host").unionByName(counted.select("phrase", "host")).distinct()
+    hosts = everywhere.groupBy("phrase").agg(F.count("*").alias("hosts"))
     # Phrases on one host only are left out of the join: they are most of them.
-    spread = phrases.join(hosts.where(F.col("hosts") >= HOSTS), "phrase").groupBy("id", "piece").agg(F.sum("times").alias("elsewhere"))
-    all_ = phrases.groupBy("id", "piece").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
+    spread = counted.join(hosts.where(F.col("hosts") >= HOSTS), "phrase").groupBy("id", "piece").agg(F.sum("times").alias("elsewhere"))
+    all_ = counted.groupBy("id", "piece").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
     stitched = all_.join(spread, ["id", "piece"]).where(F.col("elsewhere") > F.col("times") / 2).groupBy("id").agg(F.sum("n").alias("replicated"))
     out = measured.select("id", "words", "listed").join(stitched, "id", "left").withColumn("replicated", F.coalesce("replicated", F.lit(0)))
     return out.withColumn("share", F.coalesce(F.try_divide(F.col("listed") + F.col("replicated"), F.col("words")), F.lit(0.0)))

@@ -57,3 +57,15 @@ def test_short_lines_and_sentences_are_joined():
     assert share("best loans\nwww.site.test/a\ncheap tyres\nwww.tyres.test/b\n") == 1
     assert share("(Applause)\nWer stimmt dafür? Die Gegenprobe! Enthaltungen?\n(Heiterkeit)\n– Hear, hear!\n– Hear, hear!\n– Hear, hear!") == 0
     assert share("\n".join(f"{a} {b}" for a in ("Anna", "Bo", "Cy") for b in ("Kay", "Lom", "Mun"))) == 0
+
+
+def test_phrases_are_counted_in_all_pieces(spark):
+    doubtful = "harbour levy school meals the grain reserve urgent road tolls in valleys school meals rural routes bridge"
+    # The same phrases in a list decided by density and in running text.
+    decided = "harbour levy school meals the grain reserve urgent road tolls " * 5
+    running = "We have heard that the harbour levy school meals the grain reserve urgent road tolls in valleys school meals rural routes bridge were all that they had and it is not for us to say who should have been there."
+    assert len(stuffing.measure(doubtful)[2]) == 1 and not stuffing.measure(decided)[2] and not stuffing.measure(running)[2]
+    own = "lake charter dairy premium the tram reserve careful bridge funds in hills dairy premium night routes ferry"
+    rows = [(1, doubtful, "a"), (2, decided, "b"), (3, running, "b"), (4, own, "a"), (5, decided, "a")]
+    got = {r["id"]: r["replicated"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
+    assert got[1] > 0 and got[4] == 0
