@@ -39,8 +39,9 @@ LABEL = 8
 #: Lines without an end of sentence of at most so many words are joined.
 SHORT = 8
 #: Below this share of function words a piece is a list; below the second it may be one.
+#: They are shares of the words of more than one letter and of elided articles.
 FEW, SOME = 0.06, 0.34
-#: From this share of recurring word pairs on a piece is a list; from the second on it may be one.
+#: From this share of recurring word pairs on a piece is a list, whatever its function words; from the second on it may be one.
 OFTEN, SOMETIMES = 0.4, 0.12
 #: Words of a phrase, and hosts on which it must stand.
 PHRASE, HOSTS = 5, 2
@@ -57,6 +58,7 @@ GOODS = r"(?:[^\S\n]+[^\W\d_][\w'’-]*)"
 PRICE = r"[^\S\n]+[$€£]?\d+[.,]\d{2}(?!\w)"
 PRODUCT = re.compile(rf"(?<![\w-])(?:(?:SKU[^\S\n]+)?[^\W\d_]\w*-\d+{GOODS}{{1,6}}{PRICE}|SKU[^\S\n]+[\w-]*\d[\w-]*{GOODS}{{0,6}}(?:{PRICE}|(?=[^\S\n]*(?:[\n;|]|$))))")
 WORD = re.compile(r"[^\W_]+")
+ELIDED = re.compile(r"(?<![\w-])[cdjlmnst](?=['’][^\W\d_])", re.I)
 NUMERIC = re.compile(r"[\s\d.,/%+–-]*\d[\s\d.,/%+–-]*")
 
 
@@ -197,14 +199,16 @@ def measure(text: str | None, others: list[np.ndarray] | None = None) -> tuple[i
         if kind == "table" or len(words) < LEAST_WORDS or _is_roll(piece) or (kind == "lines" and len(run) > 1 and _is_names(run)):
             others.append(hashes)
             continue
-        function = sum(w in FUNCTION_WORDS for w in words) / len(words)
+        # Single letters are mostly parts of parted words and say nothing, but elided articles count.
+        longer, elided = [w for w in words if len(w) > 1], len(ELIDED.findall(measured))
+        function = (sum(w in FUNCTION_WORDS for w in longer) + elided) / max(1, len(longer) + elided)
         pairs = list(zip(words, words[1:]))
         recur = 1 - len(set(pairs)) / len(pairs)
-        if kind == "sentences" and recur < OFTEN:
+        if kind == "sentences" and (recur < OFTEN or function >= SOME):
             # Formulas of the chair: short sentences that do not recur.
             others.append(hashes)
             continue
-        if function < FEW or (recur >= OFTEN and function < SOME):
+        if function < FEW or recur >= OFTEN:
             listed += n
             others.append(hashes)
         elif function < SOME / 2 or (recur >= SOMETIMES and function < SOME):

@@ -69,3 +69,9 @@ def test_phrases_are_counted_in_all_pieces(spark):
     rows = [(1, doubtful, "a"), (2, decided, "b"), (3, running, "b"), (4, own, "a"), (5, decided, "a")]
     got = {r["id"]: r["replicated"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
     assert got[1] > 0 and got[4] == 0
+
+
+def test_strong_recurrence_decides_whatever_the_function_words():
+    assert share("hoteles en la costa " * 100) == 1
+    assert share("official d3tox offici@l detox o-f-f-i-c-i-a-l- -d-e-t-o-x OFFICIAL DETOX " * 6) == 1
+    assert share(SPEECH * 20) == 0
