@@ -10,6 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Depth of a forest's trees without a limit of their own: the most that pyspark.ml allows.
+FOREST_DEPTH = 30
+
 
 def training_weights(kind: str, label: str, weight: float, class_weight: str | None = None) -> Column:
     """Weight of a training row: undersampled rows of class 0 count ``weight`` times.
@@ -27,7 +30,7 @@ def training_weights(kind: str, label: str, weight: float, class_weight: str | N
 def build(kind: str, params: Mapping, label: str = "Class", seed: int = 42):
     """The estimator for grid parameters."""
     if kind == "forest":
-        return RandomForestClassifier(labelCol=label, weightCol="weight", seed=seed, numTrees=int(params.get("n_estimators") or 100), featureSubsetStrategy=str(params.get("max_features") or "sqrt"), subsamplingRate=float(params.get("max_samples") or 1.0), minInstancesPerNode=int(params.get("min_samples_leaf") or 1), maxDepth=int(params.get("max_depth") or 12))
+        return RandomForestClassifier(labelCol=label, weightCol="weight", seed=seed, numTrees=int(params.get("n_estimators") or 100), featureSubsetStrategy=str(params.get("max_features") or "sqrt"), subsamplingRate=float(params.get("max_samples") or 1.0), minInstancesPerNode=int(params.get("min_samples_leaf") or 1), maxDepth=int(params.get("max_depth") or FOREST_DEPTH))
     if kind == "boost":
         return GBTClassifier(labelCol=label, weightCol="weight", seed=seed, maxIter=int(params.get("n_estimators") or 100), maxDepth=int(params.get("max_depth") or 6), stepSize=float(params.get("learning_rate") or 0.1), minInfoGain=float(params.get("gamma") or 0.0))
     raise ValueError(f"unknown model {kind!r}")

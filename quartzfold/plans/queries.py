@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -694,6 +695,10 @@ def training_weights(spark, d):
     return base(spark, d).groupBy(models.training_weights("forest", "Class", 3.0).alias("weight")).agg(F.count("*").alias("n"))
 
 
+def _configurations(values):
+    return [dict(zip(values, c)) for c in itertools.product(*values.values())]
+
+
 def _outer(spark, d, kind, params):
     f = folds(spark, d)
     x = features.derive(f, excluded=["hour_sin", "hour_cos"], keep=["row_id", "Class", "fold"])
@@ -708,14 +713,37 @@ def _outer(spark, d, kind, params):
 
 @query()
 def rf_outer_eval(spark, d):
-    """A forest on each outer fold."""
-    return _outer(spark, d, "forest", {"n_estimators": 10, "max_features": "sqrt", "max_depth": 6})
+    """A forest of the grid's first configuration on each outer fold."""
+    return _outer(spark, d, "forest", _configurations(experiment.FOREST_GRID)[0])
 
 
 @query()
 def gbt_outer_eval(spark, d):
-    """A boosted model on each outer fold."""
-    return _outer(spark, d, "boost", {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3})
+    """A boosted model of the grid's first configuration on each outer fold."""
+    return _outer(spark, d, "boost", _configurations(experiment.BOOST_GRID)[0])
+
+
+def _search(spark, d, kind, values):
+    """The whole grid on the inner part of every outer fold: the next fold is its validation part."""
+    f = folds(spark, d)
+    x = features.derive(f, excluded=["hour_sin", "hour_cos"], keep=["row_id", "Class", "fold"])
+    columns = [c for c in x.columns if c not in ("row_id", "Class", "fold")]
+    x = x.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(1, 6)]))).where("own <> fold")
+    x = x.withColumn("part", F.when(F.col("own") == F.pmod(F.col("fold"), F.lit(5)) + 1, "val").otherwise("train"))
+    m = pipeline.supervised_search(x, _configurations(values), kind, columns)
+    return rounded(m, "precision", "recall", "f1", "average_precision")
+
+
+@query()
+def rf_search(spark, d):
+    """Every combination of the forest's grid on every inner fold."""
+    return _search(spark, d, "forest", experiment.FOREST_GRID)
+
+
+@query()
+def gbt_search(spark, d):
+    """Every combination of the boosted model's grid on every inner fold."""
+    return _search(spark, d, "boost", experiment.BOOST_GRID)
 
 
 VECTOR_GRID = {"min_cluster_size": [5, 10], "min_samples": [5, 10]}
