@@ -88,10 +88,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar other transactions of each probe."""
+    """Each pair of a probe and one of its five most similar other transactions, the smaller id first."""
     vectors = _vectors(spark, d)
     probes = vectors.join(table(spark, d, "knn_probe").select(F.col("row_id").alias("id")).distinct(), "id", "left_semi")
-    return hashing.similar(vectors, probes, VECTOR).select(F.col("query").alias("row_id_a"), F.col("id").alias("row_id_b"))
+    found = hashing.similar(vectors, probes, VECTOR)
+    return found.select(F.least("query", "id").alias("row_id_a"), F.greatest("query", "id").alias("row_id_b")).distinct()
 
 
 def p2_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +101,15 @@ def p2_similar(spark: SparkSession, d: str) -> DataFrame:
     return hashing.similar(vectors, vectors.where("id % 20 = 0"), VECTOR).select(F.col("query").alias("row_id"), "place", F.col("id").alias("similar_row_id"), "distance")
 
 
+_ANGLE = "(Time % 86400) / 3600 * (2 * pi() / 24)"
+P2_FOUND = f"""
+WITH v AS (SELECT row_id, [{", ".join(V_COLUMNS)}, ln(1 + Amount), sin({_ANGLE}), cos({_ANGLE})] AS x FROM creditcard WHERE Time + Amount + {" + ".join(V_COLUMNS)} IS NOT NULL),
+near AS (SELECT a.row_id AS a, b.row_id AS b, row_number() OVER (PARTITION BY a.row_id ORDER BY round(list_distance(a.x, b.x), 6), b.row_id) AS place
+FROM (SELECT * FROM v WHERE row_id IN (SELECT row_id FROM knn_probe)) a JOIN v b ON a.row_id <> b.row_id)
+SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM near WHERE place <= 5
+"""
+
+
 # --- 3: clusters ---------------------------------------------------------------
 
 
