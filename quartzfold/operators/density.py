@@ -9,30 +9,50 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Rows whose distances to all points are held at once.
+BLOCK = 256
+
+
 def core_distances(x: np.ndarray, m: int) -> np.ndarray:
     """Distance to the m-th neighbour, the point itself being the first."""
-    if not 1 <= m <= len(x):
+    n = len(x)
+    if not 1 <= m <= n:
         raise ValueError("min_points must be between 1 and the number of points")
-    out = np.empty(len(x))
-    for i in range(len(x)):
-        out[i] = np.partition(((x - x[i]) ** 2).sum(1), m - 1)[m - 1]
+    x = x - x.mean(0)
+    xx, out = (x * x).sum(1), np.empty(n)
+    # A product gives the distances up to rounding; the few around the m-th are then taken exactly.
+    k = min(m + 3, n)
+    for i in range(0, n, BLOCK):
+        d = xx[None] - 2 * (x[i : i + BLOCK] @ x.T)
+        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), d.shape)
+        exact = ((x[near] - x[i : i + BLOCK, None]) ** 2).sum(2)
+        out[i : i + BLOCK] = np.partition(exact, m - 1, axis=1)[:, m - 1]
     return np.sqrt(out)
 
 
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimum spanning tree of mutual reachability, edges in ascending order: (a, b, weight)."""
     n = len(x)
-    best, link, open_ = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    a, b, w = np.empty(n - 1, int), np.empty(n - 1, int), np.empty(n - 1)
+    y = x - x.mean(0) if n else x
+    own, a, b = core * core, np.zeros(max(n - 1, 0), int), np.zeros(max(n - 1, 0), int)
+    # Points still outside, always in the first rows: one that joins is overwritten by the last.
+    ids, p, link = np.arange(1, n), y[1:].copy(), np.zeros(max(n - 1, 0), int)
+    pp, pc, best = (p * p).sum(1), own[1:].copy(), np.full(max(n - 1, 0), np.inf)
     now = 0
     for step in range(n - 1):
-        open_[now] = False
-        at = np.flatnonzero(open_)
-        reach = np.maximum(np.maximum(np.sqrt(((x[at] - x[now]) ** 2).sum(1)), core[at]), core[now])
-        nearer = reach < best[at]
-        best[at[nearer]], link[at[nearer]] = reach[nearer], now
-        now = at[np.argmin(best[at])]
-        a[step], b[step], w[step] = link[now], now, best[now]
+        left = n - 1 - step
+        reach = pp[:left] + (y[now] @ y[now] - 2 * (p[:left] @ y[now]))
+        np.maximum(reach, pc[:left], out=reach)
+        np.maximum(reach, own[now], out=reach)
+        nearer = reach < best[:left]
+        np.copyto(link[:left], now, where=nearer)
+        np.minimum(best[:left], reach, out=best[:left])
+        k = int(np.argmin(best[:left]))
+        a[step], b[step] = link[k], ids[k]
+        now = int(ids[k])
+        for held in (ids, p, pp, pc, best, link):
+            held[k] = held[left - 1]
+    w = np.maximum(np.maximum(np.sqrt(((x[a] - x[b]) ** 2).sum(1)), core[a]), core[b])
     order = np.argsort(w, kind="stable")
     return a[order], b[order], w[order]
 
@@ -166,10 +186,9 @@ def extract(rows: list[tuple[int, int, float, int]], n: int) -> tuple[np.ndarray
     return label, member
 
 
-def hdbscan(x: np.ndarray, min_size: int, min_samples: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Labels, membership and condensed tree."""
-    tree, _ = density_tree(x, min_samples)
-    rows = condense(tree, min_size)
+def hdbscan(x: np.ndarray, min_size: int, min_samples: int, tree: tuple[MergeTree, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+    """Labels, membership and condensed tree; a density tree of these points and samples can be passed."""
+    rows = condense((tree or density_tree(x, min_samples))[0], min_size)
     return *extract(rows, len(x)), rows
 
 

@@ -101,3 +101,18 @@ def quota_sample(df: DataFrame, label: str, size: int, seed: int = 42, key: str
     quota = whole.select(F.col(label).alias("__label"), (F.col("whole") + (place <= left).cast("int")).alias("__quota"))
     ranked = hash_rank(df, [label], seed, key, "__rank")
     return ranked.join(quota, ranked[label].eqNullSafe(quota["__label"])).where("__rank <= __quota").select(*df.columns)
+
+
+def overlap(sets: DataFrame) -> DataFrame:
+    """Percentage of fold a's rows that fold b has too, all pairs: (fold_a, fold_b, overlap).
+
+    ``sets`` has distinct (fold, row_id). A row's folds meet within the row: no
+    self join of all rows. There are few folds.
+    """
+    sizes = sets.groupBy(F.col("fold").alias("fold_a")).agg(F.count("*").alias("size"))
+    held = sets.groupBy("row_id").agg(F.collect_set("fold").alias("f"))
+    both = held.select(F.explode("f").alias("fold_a"), "f").select("fold_a", F.explode("f").alias("fold_b")).groupBy("fold_a", "fold_b").agg(F.count("*").alias("both"))
+    # The grid of folds from one row that holds them all.
+    names = sizes.agg(F.collect_set("fold_a").alias("f"))
+    grid = names.select(F.explode("f").alias("fold_a"), "f").select("fold_a", F.explode("f").alias("fold_b"))
+    return grid.join(sizes, "fold_a").join(both, ["fold_a", "fold_b"], "left").select("fold_a", "fold_b", (100.0 * F.coalesce("both", F.lit(0)) / F.col("size")).alias("overlap"))

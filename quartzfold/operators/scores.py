@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzfold.functions.ordering import running
+from quartzfold.session import materialize
 
 
 def percentile_rank(reference: DataFrame, values: DataFrame, column: str, by: Sequence[str] = (), name: str = "percentile_rank") -> DataFrame:
@@ -97,3 +98,74 @@ def degree_score(train_distance: np.ndarray, eval_distance: np.ndarray, train_co
     """Mean percentile rank, against training, of the neighbour distance and of a component score."""
     rank = lambda r, v: np.searchsorted(np.sort(r), v, "right") / len(r)
     return ((rank(train_distance, train_distance) + rank(train_component, train_component)) / 2, (rank(train_distance, eval_distance) + rank(train_component, eval_component)) / 2)
+
+
+def _rooted(tree: DataFrame, by: Sequence[str]) -> DataFrame:
+    root = tree.groupBy(*by).agg(F.min("parent").alias("root"))
+    return tree.join(root, list(by)) if by else tree.withColumn("root", F.lit(root.first()[0]).cast("bigint"))
+
+
+def ancestors(tree: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every cluster of condensed trees with itself and all clusters above it: (by.., cluster, ancestor, steps, birth).
+
+    ``tree`` has the keys ``by``, parent, child and lam; a child below the
+    smallest parent of its tree is a point. One round per level of the trees,
+    over clusters only. ``birth`` is the lambda at which the ancestor split off,
+    0 for the root.
+    """
+    root = tree.groupBy(*by).agg(F.min("parent").alias("root"))
+    edges = _rooted(tree, by).where(F.col("child") >= F.col("root"))
+    edges = materialize(edges.select(*by, F.col("child").alias("ancestor"), F.col("parent").alias("up"), F.col("lam").alias("birth")), "clusters")
+    front = edges.select(*by, F.col("ancestor").alias("cluster")).unionByName(root.select(*by, F.col("root").alias("cluster"))).withColumns({"ancestor": F.col("cluster"), "steps": F.lit(0)})
+    levels = []
+    while True:
+        front = materialize(front, "ancestors")
+        levels.append(front)
+        if front.isEmpty():
+            break
+        front = front.join(edges, [*by, "ancestor"]).select(*by, "cluster", F.col("up").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.join(edges.drop("up"), [*by, "ancestor"], "left").withColumn("birth", F.coalesce("birth", F.lit(0.0)))
+
+
+def tree_points(tree: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of the points of condensed trees: (by.., point, cluster, lam)."""
+    return _rooted(tree, by).where(F.col("child") < F.col("root")).select(*by, F.col("child").alias("point"), F.col("parent").alias("cluster"), "lam")
+
+
+def lambda_max_rows(tree: DataFrame, by: Sequence[str] = (), above: DataFrame | None = None) -> DataFrame:
+    """:func:`lambda_max` over tables: (by.., cluster, lambda_max); 0 for a cluster without points."""
+    above = ancestors(tree, by) if above is None else above
+    # Points are many, clusters few: the maximum per cluster comes before the join.
+    own = tree_points(tree, by).groupBy(*by, "cluster").agg(F.max("lam").alias("top"))
+    tops = above.join(own, [*by, "cluster"], "left").groupBy(*by, F.col("ancestor").alias("cluster"))
+    return tops.agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("lambda_max"))
+
+
+def _glosh(lam: str, top: str):
+    infinite = F.col(lam) == float("inf")
+    return F.when(infinite | (F.col(top) <= 0), 0.0).otherwise(1 - F.try_divide(lam, top))
+
+
+def glosh_rows(tree: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """GLOSH of all points of condensed trees: (by.., point, glosh)."""
+    return tree_points(tree, by).join(lambda_max_rows(tree, by), [*by, "cluster"]).select(*by, "point", _glosh("lam", "lambda_max").alias("glosh"))
+
+
+def glosh_new_rows(tree: DataFrame, neighbours: DataFrame, train_core: DataFrame, new_core: DataFrame) -> DataFrame:
+    """:func:`glosh_new` over tables: (query, cluster, glosh).
+
+    ``neighbours`` has query, rank, id (a point of the tree) and distance; the
+    cores have id and core. The neighbour of the highest lambda decides, ties by
+    rank; its cluster is left for the nearest one above it that was born early enough.
+    """
+    above = ancestors(tree)
+    points = tree_points(tree).withColumnRenamed("point", "id")
+    x = neighbours.join(points, "id").join(train_core.select("id", "core"), "id").join(new_core.select(F.col("id").alias("query"), F.col("core").alias("own")), "query")
+    reach = F.greatest("distance", "core", "own")
+    x = x.withColumn("lam", F.least(F.when(reach > 0, 1 / F.nullif(reach, F.lit(0.0))).otherwise(float("inf")), F.col("lam")))
+    best = x.groupBy("query").agg(F.min_by(F.struct("lam", "cluster"), F.struct(-F.col("lam"), F.col("rank"))).alias("b")).select("query", "b.*")
+    at = best.join(above, "cluster").where(F.col("birth") <= F.col("lam")).groupBy("query", "lam").agg(F.min_by("ancestor", "steps").alias("cluster"))
+    return at.join(lambda_max_rows(tree, above=above), "cluster").select("query", "cluster", _glosh("lam", "lambda_max").alias("glosh"))

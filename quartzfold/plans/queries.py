@@ -67,7 +67,8 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    # The sum turns -0 into 0.
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 # --- folds and samples ------------------------------------------------------------
@@ -135,14 +136,10 @@ def fold_coverage(spark, d):
     return parts(spark, d).where("part = 'test'").groupBy("row_id").agg(F.count("*").alias("times")).groupBy("times").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {OUTER}, s AS (SELECT outer_fold, count(*) AS n FROM o GROUP BY 1) SELECT a.outer_fold AS fold_a, b.outer_fold AS fold_b, round(100.0 * count(*) / any_value(s.n), 6) AS overlap FROM o a JOIN o b ON a.row_id = b.row_id JOIN s ON s.outer_fold = a.outer_fold GROUP BY 1, 2")
+@query(f"WITH {PARTS}, o AS (SELECT DISTINCT fold, row_id FROM parts WHERE part = 'test'), s AS (SELECT fold, count(*) AS n FROM o GROUP BY 1), p AS (SELECT a.fold AS fold_a, b.fold AS fold_b, count(*) AS n FROM o a JOIN o b ON a.row_id = b.row_id GROUP BY ALL) SELECT x.fold AS fold_a, y.fold AS fold_b, coalesce(round(100.0 * p.n / x.n, 6), 0) AS overlap FROM s x CROSS JOIN s y LEFT JOIN p ON p.fold_a = x.fold AND p.fold_b = y.fold")
 def fold_overlap(spark, d):
-    # A row's folds meet within the row: no self join of all rows.
-    o = outer_training(spark, d)
-    sizes = o.groupBy(F.col("outer_fold").alias("fold_a")).agg(F.count("*").alias("size"))
-    sets = o.groupBy("row_id").agg(F.collect_set("outer_fold").alias("f"))
-    pairs = sets.select(F.explode("f").alias("fold_a"), "f").select("fold_a", F.explode("f").alias("fold_b")).groupBy("fold_a", "fold_b").agg(F.count("*").alias("both"))
-    return rounded(pairs.join(sizes, "fold_a").select("fold_a", "fold_b", (100.0 * F.col("both") / F.col("size")).alias("overlap")), "overlap")
+    """Share of a fold's test rows that stand in another fold's test part too, all pairs of folds."""
+    return rounded(sampling.overlap(parts(spark, d).where("part = 'test'").select("fold", "row_id").distinct()), "overlap")
 
 
 @query(f"WITH {PARTS} SELECT p.fold, p.part, count(*) AS n, count_if(c.Class = 1) AS frauds, round(avg(CAST(c.Class = 1 AS INTEGER)), 6) AS rate FROM parts p JOIN creditcard c ON p.row_id = c.row_id WHERE c.Class IS NOT NULL GROUP BY ALL")
@@ -390,7 +387,8 @@ def mutual_reachability(spark, d):
 def kth_neighbor_density_by_class(spark, d):
     v = vectors(spark, d)
     k = neighbors.core_distance(neighbors.knn(v, v, 20), 20).join(v.select("id", "label"), "id")
-    return rounded(k.groupBy("label").agg(F.count("*").alias("n"), F.median("core").alias("median")), "median")
+    middle = evaluation.exact_quantiles(k, "core", [0.5], ["label"]).select("label", F.col("quantiles")[0].alias("median"))
+    return rounded(k.groupBy("label").agg(F.count("*").alias("n")).join(middle, "label"), "median")
 
 
 @query(f"""WITH {VECTORS}, r AS (SELECT a.id, b.label, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS k FROM vec a, vec b WHERE a.label >= 5 AND b.label < 5)
@@ -513,7 +511,9 @@ def top_components(spark, d):
 
 @query(f"WITH {BASE} SELECT Class, count(*) AS n, round(median(Amount), 6) AS median, round(avg(Amount), 6) AS mean, max(Amount) AS most FROM base GROUP BY Class")
 def class_location_stats(spark, d):
-    return rounded(base(spark, d).groupBy("Class").agg(F.count("*").alias("n"), F.median("Amount").alias("median"), F.avg("Amount").alias("mean"), F.max("Amount").alias("most")), "median", "mean")
+    b = base(spark, d).select("Class", "Amount")
+    middle = evaluation.exact_quantiles(b, "Amount", [0.5], ["Class"]).select("Class", F.col("quantiles")[0].alias("median"))
+    return rounded(b.groupBy("Class").agg(F.count("*").alias("n"), F.avg("Amount").alias("mean"), F.max("Amount").alias("most")).join(middle, "Class"), "median", "mean")
 
 
 # --- density, validity, condensed trees ---------------------------------------------------------
@@ -558,8 +558,8 @@ DISCO = f"""WITH {CLOSURE}, lab AS (SELECT id, CASE WHEN label = 9 THEN -1 ELSE
 pc AS (SELECT dc.i, x.l AS own, y.l AS c, sum(w) AS s, min(w) AS m, count(*) AS n FROM dc JOIN lab x ON dc.i = x.id JOIN lab y ON dc.j = y.id GROUP BY ALL),
 wide AS (SELECT l AS c, max(core) AS wide FROM core JOIN lab ON core.i = lab.id WHERE l >= 0 GROUP BY l),
 ab AS (SELECT i, max(CASE WHEN c = own THEN s / (n - 1) END) AS a, min(CASE WHEN c <> own AND c >= 0 THEN s / n END) AS b FROM pc WHERE own >= 0 GROUP BY i)
-SELECT i AS id, round((b - a) / greatest(a, b), 6) AS disco FROM ab
-UNION ALL SELECT pc.i, round(min(least((core - wide) / greatest(core, wide), (m - wide) / greatest(m, wide))), 6) FROM pc JOIN wide ON pc.c = wide.c JOIN core ON pc.i = core.i WHERE own = -1 GROUP BY pc.i"""
+SELECT i AS id, round((b - a) / greatest(a, b), 6) + 0 AS disco FROM ab
+UNION ALL SELECT pc.i, round(min(least((core - wide) / greatest(core, wide), (m - wide) / greatest(m, wide))), 6) + 0 FROM pc JOIN wide ON pc.c = wide.c JOIN core ON pc.i = core.i WHERE own = -1 GROUP BY pc.i"""
 
 
 @query(DISCO)
@@ -606,21 +606,55 @@ def hdbscan_glosh_degree(spark, d):
     return rounded(_one_group(vectors(spark, d), run, "id bigint, degree double"), "degree")
 
 
-# A condensed tree with known answers: points 0-6, root 7, clusters 8-11.
-TREE = [(7, 8, 0.2), (7, 9, 0.2), (8, 10, 0.5), (8, 11, 0.5), (10, 0, 8.0), (10, 1, 6.0), (11, 2, 3.0), (11, 3, 3.0), (9, 4, 1.0), (9, 5, 1.0), (7, 6, 0.1)]
-TREE_SQL = "RECURSIVE tree(parent, child, lam) AS (VALUES " + ", ".join(str(r) for r in TREE) + "), up(cluster, below) AS (SELECT DISTINCT parent, parent FROM tree UNION SELECT up.cluster, tree.child FROM up JOIN tree ON tree.parent = up.below WHERE tree.child > 6), top AS (SELECT cluster, CAST(max(lam) AS DOUBLE) AS lambda_max FROM up JOIN tree ON tree.parent = up.below AND tree.child < 7 GROUP BY cluster)"
+# Trees over the embeddings: the root is 1 000 000, two clusters by parity of the label, below them one per label; label 9 leaves at the root.
+TREE_SQL = """tree(parent, child, lam) AS (SELECT CASE WHEN label = 9 THEN 1000000 ELSE 1000010 + label END, id, CASE WHEN label = 9 THEN 0.1 + id % 7 / 100 ELSE 1 + id * 37 % 101 / 10 END FROM vec
+UNION ALL SELECT DISTINCT 1000001 + label % 2, 1000010 + label, 0.5 + 0.05 * label FROM vec WHERE label < 9 UNION ALL SELECT DISTINCT 1000000, 1000001 + label % 2, 0.25 FROM vec WHERE label < 9),
+up(cluster, below) AS (SELECT DISTINCT parent, parent FROM tree UNION SELECT up.cluster, tree.child FROM up JOIN tree ON tree.parent = up.below WHERE tree.child >= 1000000),
+top AS (SELECT cluster, CAST(max(lam) AS DOUBLE) AS lambda_max FROM up JOIN tree ON tree.parent = up.below AND tree.child < 1000000 GROUP BY cluster)"""
 
 
-@query(f"WITH {TREE_SQL} SELECT cluster, lambda_max FROM top")
+def _clusters(v):
+    label, parity = F.col("label") + 1000010, F.col("label") % 2 + 1000001
+    a = v.where("label < 9").select(parity.cast("bigint").alias("parent"), label.cast("bigint").alias("child"), (0.5 + 0.05 * F.col("label")).alias("lam")).distinct()
+    return a.unionByName(v.where("label < 9").select(F.lit(1000000).cast("bigint").alias("parent"), parity.cast("bigint").alias("child"), F.lit(0.25).alias("lam")).distinct())
+
+
+def _tree(spark, d):
+    v = vectors(spark, d)
+    noise = F.col("label") == 9
+    own = v.select(F.when(noise, 1000000).otherwise(F.col("label") + 1000010).cast("bigint").alias("parent"), F.col("id").alias("child"), F.when(noise, 0.1 + F.col("id") % 7 / 100).otherwise(1 + F.col("id") * 37 % 101 / 10).alias("lam"))
+    return own.unionByName(_clusters(v))
+
+
+@query(f"WITH RECURSIVE {VECTORS}, {TREE_SQL} SELECT cluster, round(lambda_max, 6) AS lambda_max FROM top")
 def lambda_max(spark, d):
-    p, c, l = (np.array(v) for v in zip(*TREE))
-    return spark.createDataFrame([(int(k), float(v)) for k, v in scores.lambda_max(p, c, l).items()], "cluster int, lambda_max double")
+    """The largest lambda below each cluster of a condensed tree."""
+    return rounded(scores.lambda_max_rows(_tree(spark, d)), "lambda_max")
 
 
-@query(f"WITH {TREE_SQL} SELECT child AS point, round(CASE WHEN lambda_max = 0 THEN 0 ELSE 1 - lam / lambda_max END, 6) AS glosh FROM tree JOIN top ON tree.parent = top.cluster WHERE child < 7")
+@query(f"WITH RECURSIVE {VECTORS}, {TREE_SQL} SELECT child AS point, round(CASE WHEN lambda_max = 0 THEN 0 ELSE 1 - lam / lambda_max END, 6) AS glosh FROM tree JOIN top ON tree.parent = top.cluster WHERE child < 1000000")
 def glosh_train(spark, d):
-    p, c, l = (np.array(v) for v in zip(*TREE))
-    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(scores.glosh_train(p, c, l))], "point int, glosh double"), "glosh")
+    """GLOSH of every point of a condensed tree."""
+    return rounded(scores.glosh_rows(_tree(spark, d)), "glosh")
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, d AS MATERIALIZED (SELECT a.id AS query, a.label AS q_label, b.id AS id, list_distance(a.v, b.v) AS distance FROM vec a, vec b WHERE b.label < 9),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d), core AS (SELECT query AS id, distance AS core FROM nn WHERE rank = 5 AND q_label < 9), own AS (SELECT query, distance AS own FROM nn WHERE rank = 3 AND q_label = 9),
+tree(parent, child, lam) AS (SELECT 1000010 + label, id, 1 / core FROM vec JOIN core USING (id) UNION ALL SELECT DISTINCT 1000001 + label % 2, 1000010 + label, 0.5 + 0.05 * label FROM vec WHERE label < 9 UNION ALL SELECT DISTINCT 1000000, 1000001 + label % 2, 0.25 FROM vec WHERE label < 9),
+up(cluster, ancestor, steps) AS (SELECT DISTINCT parent, parent, 0 FROM tree UNION SELECT up.cluster, tree.parent, steps + 1 FROM up JOIN tree ON tree.child = up.ancestor),
+top AS (SELECT ancestor AS cluster, max(lam) AS lambda_max FROM up JOIN tree ON tree.parent = up.cluster AND tree.child < 1000000 GROUP BY ancestor),
+l AS (SELECT n.query, rank, least(1 / greatest(distance, core, own), lam) AS lam, parent FROM nn n JOIN core USING (id) JOIN own USING (query) JOIN tree ON tree.child = n.id WHERE rank <= 4 AND q_label = 9),
+b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query ORDER BY lam DESC, rank) = 1),
+c AS (SELECT b.query, b.lam, up.ancestor AS cluster FROM b JOIN up ON up.cluster = b.parent LEFT JOIN tree t ON t.child = up.ancestor WHERE coalesce(t.lam, 0) <= b.lam QUALIFY row_number() OVER (PARTITION BY b.query ORDER BY steps) = 1)
+SELECT query, cluster, round(1 - lam / lambda_max, 6) AS glosh FROM c JOIN top USING (cluster)""")
+def glosh_new_points(spark, d):
+    """GLOSH of the vectors of label 9 by their neighbours in a tree of the others."""
+    v = vectors(spark, d)
+    old, new = v.where("label < 9"), v.where("label = 9")
+    core = materialize(neighbors.core_distance(neighbors.knn(old, old, 5, include_self=True), 5), "core")
+    near = materialize(neighbors.knn(old, new, 4), "near")
+    own = old.join(core, "id").select((F.col("label") + 1000010).cast("bigint").alias("parent"), F.col("id").alias("child"), (1 / F.col("core")).alias("lam"))
+    return rounded(scores.glosh_new_rows(own.unionByName(_clusters(v)), near, core, neighbors.core_distance(near, 3)), "glosh")
 
 
 # --- grids and histories -------------------------------------------------------------------------
@@ -638,11 +672,16 @@ def _winners(spark, d):
     return experiment.best_per_fold(_history(spark, d), "dbcv_score", ["run_id"], ["combo_id", "trial_id", "logged_at", F.desc("auprc")]).select("run_id", "fold", "combo_id", "dbcv_score", "auprc")
 
 
-@query("SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS combo_id, a AS n_estimators, b AS max_depth, c AS learning_rate, g AS gamma FROM (SELECT * FROM (SELECT unnest(['100', '200', '300']) AS a, unnest([0, 1, 2]) AS ia), (SELECT unnest(['3', '6', '9']) AS b, unnest([0, 1, 2]) AS ib), (SELECT unnest(['0.05', '0.1', '0.3']) AS c, unnest([0, 1, 2]) AS ic), (SELECT unnest(['0', '1', '5']) AS g, unnest([0, 1, 2]) AS ig) ORDER BY ia, ib, ic, ig)")
+@query("SELECT CAST(27 * ia + 9 * ib + 3 * ic + ig AS INTEGER) AS combo_id, a AS n_estimators, b AS max_depth, c AS learning_rate, g AS gamma FROM (SELECT unnest(['100', '200', '300']) AS a, unnest([0, 1, 2]) AS ia), (SELECT unnest(['3', '6', '9']) AS b, unnest([0, 1, 2]) AS ib), (SELECT unnest(['0.01', '0.1', '0.2']) AS c, unnest([0, 1, 2]) AS ic), (SELECT unnest(['0', '0.5', '1']) AS g, unnest([0, 1, 2]) AS ig)")
 def param_grid(spark, d):
     return experiment.grid(spark, experiment.BOOST_GRID)
 
 
+@query("SELECT CAST(54 * ia + 18 * ib + 9 * ic + 3 * id + ie AS INTEGER) AS combo_id, a AS n_estimators, b AS max_features, c AS class_weight, d AS max_samples, e AS min_samples_leaf FROM (SELECT unnest(['100', '200', '300']) AS a, unnest([0, 1, 2]) AS ia), (SELECT unnest(['sqrt', '0.5', '0.7']) AS b, unnest([0, 1, 2]) AS ib), (SELECT unnest([NULL, 'balanced_subsample']) AS c, unnest([0, 1]) AS ic), (SELECT unnest(['0.1', '0.2', NULL]) AS d, unnest([0, 1, 2]) AS id), (SELECT unnest(['1', '2', '3']) AS e, unnest([0, 1, 2]) AS ie)")
+def param_grid_forest(spark, d):
+    return experiment.grid(spark, experiment.FOREST_GRID)
+
+
 @query(f"WITH {WINNERS} SELECT * FROM w")
 def best_per_fold(spark, d):
     return _winners(spark, d)
@@ -671,17 +710,20 @@ def best_by_mean(spark, d):
     return _summary(spark, d).withColumn("place", F.row_number().over(w)).where("place = 1").select("run_id", "combo_id", "auprc")
 
 
+# Only trials with a validity count as done, so that the history has gaps.
+DONE = "p AS (SELECT DISTINCT run_id, fold, combo_id FROM h WHERE dbcv_score IS NOT NULL)"
 GRID_ROWS = "g AS (SELECT f.fold, c.combo_id FROM (SELECT DISTINCT fold FROM h) f, (SELECT DISTINCT combo_id FROM h) c)"
 
 
-@query(f"WITH {H}, {GRID_ROWS} SELECT r.run_id, count(*) AS pending FROM (SELECT DISTINCT run_id FROM h) r, g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.run_id = r.run_id AND h.fold = g.fold AND h.combo_id = g.combo_id) GROUP BY r.run_id")
+@query(f"WITH {H}, {DONE}, {GRID_ROWS} SELECT r.run_id, g.fold, g.combo_id FROM (SELECT DISTINCT run_id FROM h) r, g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.run_id = r.run_id AND p.fold = g.fold AND p.combo_id = g.combo_id)")
 def pending_combos(spark, d):
-    h = _history(spark, d).select("run_id", "fold", "combo_id").distinct()
+    """Combinations of the grid that a run has still to compute."""
+    h = _history(spark, d).select("run_id", "fold", "combo_id", "dbcv_score")
     # The grid: a few values of fold and combo, gathered by name.
     folds_, combos = h.agg(F.sort_array(F.collect_set("fold")), F.sort_array(F.collect_set("combo_id"))).first()
     full = h.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(f) for f in folds_])).alias("fold"))
     full = full.select("run_id", "fold", F.explode(F.array(*[F.lit(c) for c in combos])).alias("combo_id"))
-    return experiment.pending(full, h, ("run_id", "fold", "combo_id")).groupBy("run_id").agg(F.count("*").alias("pending"))
+    return experiment.pending(full, h.where("dbcv_score is not null"), ("run_id", "fold", "combo_id"))
 
 
 @query(f"WITH {H} SELECT run_id, fold, count(DISTINCT combo_id) AS combos FROM h GROUP BY ALL HAVING count(DISTINCT combo_id) = (SELECT count(DISTINCT combo_id) FROM h)")

@@ -31,11 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for tables that cut lineage.
 
     The session's ``spark.checkpoint.dir`` is used as it is; only where none is
-    set (tests on one machine) a temporary folder is set.
+    set and the master is local (tests on one machine) a temporary folder is
+    set. Executors elsewhere would each write to a folder of their own, so a
+    cluster without the setting raises.
     """
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quartzfold-"))
     return jsc.getCheckpointDir().get()
 
