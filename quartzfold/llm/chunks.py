@@ -107,7 +107,7 @@ def _normalise(fields: int, width: float, tolerance: float, coarse: Sequence[tup
 
 
 def _chunked(fields: int, frame: int, near: int):
-    """(split, train, row_id, record) to (digest, train, row_id, length)."""
+    """(split, train, row_id, record) to (digest, split, train, row_id, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,13 +145,13 @@ def _chunked(fields: int, frame: int, near: int):
                     rep = np.repeat(np.arange(len(r)), times[r])
                     k = np.arange(len(rep)) - np.repeat(np.cumsum(times[r]) - times[r], times[r])
                     key = mix64(digest[rep] ^ block[starts[r[rep]] + k])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(rep), own)), pa.array(row[at][r[rep]]), pa.array(length[rep].astype(np.int32))], names=["digest", "train", "row_id", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(split[at][r[rep]]), pa.array(np.full(len(rep), own)), pa.array(row[at][r[rep]]), pa.array(length[rep].astype(np.int32))], names=["digest", "split", "train", "row_id", "length"])
 
     return run
 
 
 def candidates(records: DataFrame, splits: DataFrame, fields: Sequence[str], near: dict[str, tuple[float, float]], width: float = 0.25, tolerance: float = 0.01, frame: int = 7, least: float = 0.5) -> DataFrame:
-    """Pairs sharing at least ``least`` of their fields in chunks: (train_id, eval_id, overlap).
+    """Pairs of a split sharing at least ``least`` of their fields in chunks: (split, train_id, eval_id, overlap).
 
     ``records`` has row_id, the ``fields`` and the ``near`` columns, each with
     its block width and tolerance; ``splits`` has split (BIGINT: records are
@@ -164,10 +164,10 @@ def candidates(records: DataFrame, splits: DataFrame, fields: Sequence[str], nea
     ready = records.where(known & F.col("row_id").isNotNull()).select("row_id", *fields, *names)
     normal = ready.mapInArrow(_normalise(len(fields), width, tolerance + 1e-9, [(w, t + 1e-9) for w, t in near.values()]), "row_id bigint, record binary")
     placed = splits.join(normal, "row_id").select("split", "train", "row_id", "record")
-    chunk = materialize(placed.mapInArrow(_chunked(len(fields), frame, len(names)), "digest bigint, train boolean, row_id bigint, length int"), "chunks")
-    a = chunk.where("train").select("digest", F.col("row_id").alias("train_id"), "length")
-    b = chunk.where("not train").select("digest", F.col("row_id").alias("eval_id"), F.col("length").alias("length_b"))
-    shared = a.join(b, "digest").where("length = length_b").groupBy("train_id", "eval_id").agg((F.sum("length") / len(fields)).alias("overlap"))
+    chunk = materialize(placed.mapInArrow(_chunked(len(fields), frame, len(names)), "digest bigint, split bigint, train boolean, row_id bigint, length int"), "chunks")
+    a = chunk.where("train").select("digest", "split", F.col("row_id").alias("train_id"), "length")
+    b = chunk.where("not train").select("digest", "split", F.col("row_id").alias("eval_id"), F.col("length").alias("length_b"))
+    shared = a.join(b, ["digest", "split"]).where("length = length_b").groupBy("split", "train_id", "eval_id").agg((F.sum("length") / len(fields)).alias("overlap"))
     return shared.where(F.col("overlap") >= least)
 
 
@@ -204,5 +204,5 @@ def overlaps(records: DataFrame, splits: DataFrame, fields: Sequence[str], near:
     for c, (_, t) in near.items():
         close = close & (F.abs(F.col("a")[c] - F.col("b")[c]) <= t + 1e-9)
     count = sum((differs(F.col("a")[c], F.col("b")[c], tolerance) for c in fields), F.lit(0))
-    found = x.where(close).where(count <= different).select("train_id", "eval_id", "overlap")
+    found = x.where(close).where(count <= different).select("split", "train_id", "eval_id", "overlap")
     return found

@@ -3,26 +3,32 @@
 The balancing variables are the category indicators, so the kernel of the
 constraints is spanned by the differences of two records of one category: a
 flight step moves two undecided records along such a difference until one of
-them is decided. Each partition flies over its own records and is left with at
-most one undecided record per request and category; these few are merged and
-fly on, and the landing decides the last one.
+them is decided. All pairs of a batch move at once, then the pairs of those left
+over, until a category has one undecided record. Each partition flies over its
+own records and is left with at most one per request and category; these few are
+merged and fly on, and the landing decides what is left then.
+
+Probabilities are fractions mass / full of whole numbers (need / supply at the
+start), so no rounding is involved: the masses of a category add up to need x
+full, and exactly ``need`` records end with full mass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzfold.session import materialize
 
-UNITS = "request_id bigint, category int, row_id bigint, p double, turn bigint, u double"
-#: Probabilities as near as this to 0 or 1 are decided.
-TINY = 1e-7
+UNITS = "request_id bigint, category int, row_id bigint, mass bigint, full bigint, u double"
 #: Partitions whose undecided records are merged in one step.
 FAN_IN = 64
+#: Undecided records that a partition carries from batch to batch.
+CARRY = 200_000
 
 
 def digest(columns: Sequence[str]) -> list[Column]:
@@ -39,55 +45,57 @@ def distinct_pool(rows: DataFrame, identity: Sequence[str]) -> DataFrame:
     return slim.groupBy("batch_id", "category", "digest_a", "digest_b").agg(F.min("row_id").alias("row_id")).select("batch_id", "category", "row_id")
 
 
+def fly(group: np.ndarray, mass: np.ndarray, full: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Flight over records in the order of their groups; changes ``mass`` and ``u``, returns the positions of the undecided.
+
+    A step takes the random number of the first of a pair; the one that stays
+    undecided goes on with the number of the second.
+    """
+    at = np.flatnonzero((mass > 0) & (mass < full))
+    while True:
+        # The even places of a group's undecided records, each with its successor.
+        g = group[at]
+        place = np.arange(len(at)) - np.searchsorted(g, g)
+        first = np.flatnonzero((place[:-1] % 2 == 0) & (g[:-1] == g[1:])) if len(at) > 1 else np.zeros(0, int)
+        if not len(first):
+            return at
+        i, j = at[first], at[first + 1]
+        p, q, f = mass[i], mass[j], full[i]
+        s, draw = p + q, u[i].copy()
+        over = s >= f
+        # Below full mass one takes both masses, else one is filled and the other keeps the rest.
+        keeps = np.where(over, draw * (2.0 * f - s) < f - q, draw * s < p)
+        high, low = np.where(over, f, s), np.where(over, s - f, 0)
+        mass[i], mass[j] = np.where(keeps, high, low), np.where(keeps, low, high)
+        u[i] = u[j]
+        at = at[(mass[at] > 0) & (mass[at] < full[at])]
+
+
 def flight(landing: bool):
-    """One pass over records sorted by request and category."""
+    """Flight over the records of a partition; with ``landing`` the last undecided ones are decided too."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = None
-        held = None  # the undecided record: row_id, p, turn, u
-        out: list[tuple] = []
-
-        def close():
-            if held is None:
-                return
-            row, p, turn, u = held
-            if landing:
-                p = 1.0 if p > 1 - TINY or (p > TINY and u < p) else 0.0
-            if p > TINY:
-                out.append((*group, row, 1.0 if p > 1 - TINY else p, turn, u))
-
-        def table():
-            cols = list(zip(*out)) if out else [()] * 6
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["request_id", "category", "row_id", "p", "turn", "u"])
+    def out(request, category, row, mass, full, u) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((request, category, row, mass, full, u), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["request_id", "category", "row_id", "mass", "full", "u"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64, np.float64)]
         for b in batches:
-            for request, category, row, p, turn, u in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if group != (request, category):
-                    close()
-                    group, held = (request, category), None
-                if p >= 1 - TINY:
-                    out.append((request, category, row, 1.0, turn, u))
-                    continue
-                if held is None:
-                    held = (row, p, turn, u)
-                    continue
-                r0, p0, t0, u0 = held
-                s = p0 + p
-                if s < 1:
-                    stays = u0 * s < p0
-                    held = (r0, s, t0, u) if stays else (row, s, turn, u0)
-                else:
-                    first = u0 * (2 - s) < 1 - p
-                    out.append((request, category, r0 if first else row, 1.0, t0 if first else turn, u0))
-                    held = (row, s - 1, turn, u) if first else (r0, s - 1, t0, u)
-                    if held[1] <= TINY:
-                        held = None
-            if len(out) > 20_000:
-                yield table()
-                out.clear()
-        close()
-        yield table()
+            x = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
+            # Low digits of the random number give a random order that says nothing about the number.
+            order = np.lexsort((x[5] * 2.0**20 % 1.0, x[1], x[0]))
+            request, category, row, mass, full, u = (v[order] for v in x)
+            new = np.r_[True, (request[1:] != request[:-1]) | (category[1:] != category[:-1])][: len(request)]
+            open_ = fly(np.cumsum(new), mass, full, u)
+            done = np.flatnonzero(mass >= full)
+            yield out(request[done], category[done], row[done], full[done], full[done], u[done])
+            held = [v[open_] for v in (request, category, row, mass, full, u)]
+            if len(open_) > CARRY and not landing:
+                yield out(*held)
+                held = [v[:0] for v in held]
+        if landing:
+            held[3] = np.where(held[5] * held[4] < held[3], held[4], 0)
+            held = [v[held[3] > 0] for v in held]
+        yield out(*held)
 
     return run
 
@@ -111,15 +119,14 @@ def draw(rows: DataFrame, requests: DataFrame, identity: Sequence[str], seed: in
     wanted = F.round(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0))).cast("bigint")
     needs = requests.select("request_id", "batch_id", F.col("category").cast("int").alias("category"), "target_share", F.greatest(F.coalesce("min_rows", F.lit(0)).cast("bigint"), wanted).alias("need"))
     needs = materialize(needs.join(supply, ["batch_id", "category"], "left").withColumn("supply", F.coalesce("supply", F.lit(0).cast("bigint"))), "needs")
-    target = needs.where("need > 0 and supply > 0").select("request_id", "batch_id", "category", F.least(F.lit(1.0), F.col("need") / F.col("supply")).alias("p"))
-    turn = F.xxhash64(F.lit(seed), "request_id", "row_id")
+    target = needs.where("need > 0 and supply > 0").select("request_id", "batch_id", "category", F.least("need", "supply").alias("mass"), F.col("supply").alias("full"))
     u = F.shiftrightunsigned(F.xxhash64("row_id", F.lit(seed + 1), "request_id"), 11) / F.lit(float(2**53))
-    units = pool.join(target, ["batch_id", "category"]).select("request_id", "category", "row_id", "p", turn.alias("turn"), u.alias("u"))
-    order = ["request_id", "category", "turn"]
-    flown = materialize(units.sortWithinPartitions(*order).mapInArrow(flight(False), UNITS), "flown")
-    decided, open_ = flown.where("p = 1.0"), flown.where("p < 1.0")
-    landed = open_.withColumn("lane", F.pmod("turn", F.lit(FAN_IN))).repartition("request_id", "category", "lane").sortWithinPartitions(*order).drop("lane").mapInArrow(flight(False), UNITS)
-    landed = landed.repartition("request_id", "category").sortWithinPartitions(*order).mapInArrow(flight(True), UNITS)
+    columns = ["request_id", "category", "row_id", "mass", "full", "u"]
+    units = pool.join(target, ["batch_id", "category"]).withColumn("u", u).select(*columns)
+    flown = materialize(units.mapInArrow(flight(False), UNITS), "flown")
+    decided, open_ = flown.where("mass = full"), flown.where("mass < full")
+    landed = open_.withColumn("lane", F.pmod(F.xxhash64("row_id"), F.lit(FAN_IN))).repartition("request_id", "category", "lane").select(*columns).mapInArrow(flight(False), UNITS)
+    landed = landed.repartition("request_id", "category").mapInArrow(flight(True), UNITS)
     sample = materialize(decided.unionByName(landed).select("request_id", "category", "row_id"), "sample")
     drawn = sample.groupBy("request_id", "category").agg(F.count("*").alias("drawn"))
     report = needs.join(drawn, ["request_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))

@@ -195,8 +195,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Evaluated transactions, those that stand in the training part too, and pairs, per fold, part and source."""
-    hit = _overlaps(spark, d).groupBy(F.col("eval_id").alias("row_id")).agg(F.count("*").alias("pairs"))
-    rows = _splits(spark, d).where("part <> 'train'").join(table(spark, d, "creditcard").select("row_id", "source"), "row_id").join(hit, "row_id", "left")
+    hit = _overlaps(spark, d).groupBy("split", F.col("eval_id").alias("row_id")).agg(F.count("*").alias("pairs"))
+    rows = _splits(spark, d).where("part <> 'train'").join(table(spark, d, "creditcard").select("row_id", "source"), "row_id").join(hit, ["split", "row_id"], "left")
     return rows.groupBy(F.col("split").cast("int").alias("fold"), "part", "source").agg(F.count("*").alias("transactions"), F.count("pairs").alias("also_in_train"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
@@ -204,20 +204,20 @@ def p5_fractions(spark: SparkSession, d: str) -> DataFrame:
     """The largest share of its fields that an evaluated transaction has in chunks of a training one, from 1/2 on."""
     splits = _splits(spark, d).withColumn("train", F.col("part") == "train")
     pairs = chunks.candidates(table(spark, d, "creditcard"), splits, V_COLUMNS, {"Time": (600.0, 60.0), "Amount": (1.0, 0.05)})
-    return pairs.groupBy(F.col("eval_id").alias("row_id")).agg(F.round(F.max("overlap"), 6).alias("overlap"), F.count("*").alias("training_rows"))
+    return pairs.groupBy(F.col("split").cast("int").alias("fold"), F.col("eval_id").alias("row_id")).agg(F.round(F.max("overlap"), 6).alias("overlap"), F.count("*").alias("training_rows"))
 
 
 _DIFFERING = " + ".join(f"CASE WHEN (a.{c} IS NULL AND b.{c} IS NULL) OR abs(a.{c} - b.{c}) <= 0.01 + 1e-9 THEN 0 ELSE 1 END" for c in V_COLUMNS)
 _P5_PAIRS = f"""
 WITH part AS (SELECT DISTINCT fold, lower(trim(part)) AS part, row_id FROM fold_partition WHERE lower(trim(part)) IN ('train', 'val', 'test')),
 x AS (SELECT p.fold, p.part, CAST(floor(c.Time / 60) AS BIGINT) AS minute, c.* FROM part p JOIN creditcard c ON p.row_id = c.row_id WHERE Time IS NOT NULL AND Amount IS NOT NULL),
-pairs AS (SELECT a.row_id AS train_id, b.row_id AS eval_id FROM (SELECT *, minute + unnest([-1, 0, 1]) AS m FROM x WHERE part = 'train') a JOIN (SELECT *, minute AS m FROM x WHERE part <> 'train') b ON a.fold = b.fold AND a.m = b.m
+pairs AS (SELECT a.fold, a.row_id AS train_id, b.row_id AS eval_id FROM (SELECT *, minute + unnest([-1, 0, 1]) AS m FROM x WHERE part = 'train') a JOIN (SELECT *, minute AS m FROM x WHERE part <> 'train') b ON a.fold = b.fold AND a.m = b.m
 WHERE abs(a.Time - b.Time) <= 60 AND abs(a.Amount - b.Amount) <= 0.05 + 1e-9 AND {_DIFFERING} <= 2)
 """
 P5_FOUND = _P5_PAIRS + "SELECT DISTINCT least(train_id, eval_id) AS row_id_a, greatest(train_id, eval_id) AS row_id_b FROM pairs"
-P5_COUNTS = _P5_PAIRS + """, hit AS (SELECT eval_id AS row_id, count(*) AS pairs FROM pairs GROUP BY eval_id)
+P5_COUNTS = _P5_PAIRS + """, hit AS (SELECT fold, eval_id AS row_id, count(*) AS pairs FROM pairs GROUP BY ALL)
 SELECT p.fold, p.part, c.source, count(*) AS transactions, count(h.pairs) AS also_in_train, CAST(coalesce(sum(h.pairs), 0) AS BIGINT) AS pairs
-FROM part p JOIN creditcard c ON p.row_id = c.row_id LEFT JOIN hit h ON p.row_id = h.row_id WHERE p.part <> 'train' GROUP BY ALL
+FROM part p JOIN creditcard c ON p.row_id = c.row_id LEFT JOIN hit h ON p.row_id = h.row_id AND p.fold = h.fold WHERE p.part <> 'train' GROUP BY ALL
 """
 
 

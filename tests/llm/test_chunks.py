@@ -48,3 +48,11 @@ def test_empty(spark):
     assert chunks.overlaps(df, spark.createDataFrame([], "split bigint, train boolean, row_id bigint"), FIELDS, NEAR).count() == 0
     with pytest.raises(ValueError):
         chunks.overlaps(df, df, FIELDS, NEAR, different=4)
+
+
+def test_a_record_in_several_splits(spark):
+    rows = [(i, 10.0, 5.0, *[0.3 * j for j in range(28)]) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "row_id bigint, t double, m double, " + ", ".join(f"{c} double" for c in FIELDS))
+    s = spark.createDataFrame([(k, i == 1, i) for k in (1, 2, 3) for i in (1, 2)], "split bigint, train boolean, row_id bigint")
+    got = sorted((r["split"], r["train_id"], r["eval_id"], r["overlap"]) for r in chunks.overlaps(df, s, FIELDS, NEAR).collect())
+    assert got == [(k, 1, 2, 1.0) for k in (1, 2, 3)]

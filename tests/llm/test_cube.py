@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from quartzfold.llm import cube
 
 IDENTITY = ["x", "y"]
@@ -32,3 +35,19 @@ def test_every_record_has_the_same_chance(spark):
 def test_empty(spark):
     sample, report = run(spark, [], [])
     assert sample == [] and report == {}
+
+
+@pytest.mark.parametrize("full,mass,n", [(10**9, 1, 50), (7, 3, 1000), (10**12, 10**12 - 1, 333), (5, 5, 4)])
+def test_flight_keeps_every_mass_and_leaves_one(full, mass, n):
+    m, f = np.full(n, mass), np.full(n, full)
+    left = cube.fly(np.zeros(n, int), m, f, np.random.default_rng(0).random(n))
+    assert m.sum() == n * mass and len(left) <= 1 and (m >= 0).all() and (m <= full).all()
+    assert (m == full).sum() == n * mass // full
+
+
+def test_flight_is_fair():
+    rng, times = np.random.default_rng(1), np.zeros(9)
+    group, mass = np.repeat(np.arange(4000), 9), np.full(36000, 2)
+    cube.fly(group, mass, np.full(36000, 9), rng.random(36000))
+    times = (mass == 9).reshape(4000, 9).sum(0)
+    assert times.sum() == 8000 and abs(times / 8000 - 1 / 9).max() < 0.012
