@@ -246,6 +246,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("tokens_held").agg(F.count("*").alias("containers"))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and tokens placed, containers over the capacity, documents cut without need, and tokens placed twice or not at all."""
+    rows = materialize(_packed(spark, d), "packed")
+    over = rows.where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("n")).agg(F.count_if(F.col("n") > CAPACITY).alias("overfull"))
+    own = rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("placed"), F.max(F.col("token_from") + F.col("tokens")).alias("end"))
+    total = own.agg(F.count("*").alias("documents"), F.sum("placed").alias("tokens"), F.count_if((F.col("pieces") > 1) & (F.col("placed") <= CAPACITY)).alias("cut_needlessly"), F.count_if(F.col("placed") != F.col("end")).alias("misplaced"))
+    (overfull,) = over.first()
+    return total.withColumn("overfull", F.lit(overfull))
+
+
+P6_CHECKED = f"SELECT count(*) AS documents, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS cut_needlessly, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS overfull FROM documents"
 P6_FOUND = f"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '{TOKEN}')) > {CAPACITY}"
 
 
