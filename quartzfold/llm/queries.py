@@ -137,6 +137,24 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).select("record_kind", "cluster_id", "size", "typical_members", "densest_cell")
 
 
+def _components(kind: str, links: str) -> str:
+    """Members of the components of links (a, b), which have both directions and every id with itself."""
+    return f"""{kind}_reach(a, b) AS (SELECT a, b FROM {links} UNION SELECT r.a, l.b FROM {kind}_reach r JOIN {links} l ON r.b = l.a),
+{kind}_label AS (SELECT a AS id, min(b) AS label, count(*) AS size FROM {kind}_reach GROUP BY a)"""
+
+
+P3_FOUND = f"""
+WITH RECURSIVE t AS (SELECT row_id AS id, {", ".join(V_COLUMNS)}, [{", ".join(V_COLUMNS)}] AS v FROM creditcard WHERE {" + ".join(V_COLUMNS)} IS NOT NULL),
+t_links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON b.V1 BETWEEN a.V1 - 0.41 AND a.V1 + 0.41 AND {" AND ".join(f"abs(a.{c} - b.{c}) <= 0.41" for c in V_COLUMNS[1:])} WHERE list_distance(a.v, b.v) <= 0.4 + 1e-9),
+h AS (SELECT * FROM hdbscan_grid_results_by_fold QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY logged_at DESC NULLS LAST, run_id DESC NULLS LAST, n_clusters DESC NULLS LAST, n_noise_points DESC NULLS LAST) = 1),
+h_links AS MATERIALIZED (SELECT a.trial_id AS a, b.trial_id AS b FROM h a JOIN h b ON a.run_id = b.run_id AND abs(a.n_clusters - b.n_clusters) <= 2 AND abs(a.n_noise_points - b.n_noise_points) <= 200),
+{_components("t", "t_links")},
+{_components("h", "h_links")}
+SELECT 'transaction' AS record_kind, label AS cluster_id, id AS member_id FROM t_label WHERE size >= 12
+UNION ALL SELECT 'trial', label, id FROM h_label WHERE size >= 4
+"""
+
+
 # --- 4: samples with wanted category shares ----------------------------------
 
 
