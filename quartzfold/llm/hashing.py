@@ -1,12 +1,14 @@
 """Most similar vectors, by multi-index hashing.
 
-Vectors get binary codes: the signs of their projections on a rotation that was
+Vectors get binary codes: the signs of their projections on rotations that were
 learned on a bounded sample (principal axes, then iterative quantisation). A
-code is split into two substrings, each with an index of its own. Codes within
-Hamming distance 5 of a query agree with it up to two bits in at least one
-substring (pigeonhole), so probing a query's own bucket and those up to two bits
-away, in both indexes, retrieves all of them; the floats of what the buckets
-hold then decide. Substrings get longer with the collection.
+code is split into substrings, each with an index of its own. With m substrings,
+codes within Hamming distance m (r + 1) - 1 of a query agree with it up to r
+bits in at least one substring (pigeonhole), so probing a query's own bucket and
+those up to r bits away, in all indexes, retrieves all of them; the floats of
+what the buckets hold then decide. Substrings get longer with the collection, so
+that buckets do not grow with it; where the dimensions do not suffice for all
+substrings, each gets a rotation of its own.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from quartzfold.session import materialize
 
 #: Rows of the sample on which the rotation is learned.
 SAMPLE_ROWS = 20_000
-#: Bits of a substring that may differ.
-RADIUS = 2
-#: Larger buckets are searched for copies first.
+#: Substrings, and bits of one that may differ.
+SUBSTRINGS, RADIUS = 2, 2
+#: Larger buckets are searched for copies first, and by distance from their centre.
 LARGE_BUCKET = 4_096
 #: Indexed vectors that one task should hold.
-TASK_ROWS = 60_000
-#: Up to so many queries without enough neighbours are broadcast in one block.
-BLOCK = 2_000
+TASK_ROWS = 100_000
+#: Queries that travel to all partitions at once when they are answered exactly.
+BLOCK = 8_192
 
 
 def learn(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +51,26 @@ def learn(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 42) -> tu
     return centre, axes[:, ::-1][:, :bits] @ turn
 
 
-def codes_of(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two substrings of the codes."""
+def rotations(sample: np.ndarray, bits: int, substrings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and the rotations of all substrings side by side, ``bits`` columns each."""
+    if bits * substrings <= sample.shape[1]:
+        return learn(sample, bits * substrings)
+    each = [learn(sample, bits, seed=42 + i) for i in range(substrings)]
+    return each[0][0], np.hstack([r for _, r in each])
+
+
+def bits_for(n: int, width: int) -> int:
+    """Bits of a substring: few records a bucket, however many there are."""
+    n = max(n, 10)
+    return int(min(width, max(4, round(5 + math.log10(n)), round(math.log2(n) - 9))))
+
+
+def codes_of(x: np.ndarray, centre: np.ndarray, rotation: np.ndarray, substrings: int = SUBSTRINGS) -> list[np.ndarray]:
+    """The substrings of the codes."""
     on = (x - centre) @ rotation > 0
-    half = rotation.shape[1] // 2
+    half = rotation.shape[1] // substrings
     weight = 1 << np.arange(half)
-    return on[:, :half] @ weight, on[:, half:] @ weight
+    return [on[:, i * half : (i + 1) * half] @ weight for i in range(substrings)]
 
 
 def _vectors(b: pa.RecordBatch, first: int) -> np.ndarray:
@@ -73,9 +89,9 @@ def _entries(lane, ids, bucket, spare, vector) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lane), pa.array(ids), pa.array(bucket.astype(np.int32)), pa.array(np.full(len(ids), spare, np.int32)), vector], names=["lane", "id", "bucket", "spare", "vector"])
 
 
-def _index(centre: np.ndarray, rotation: np.ndarray, group_bits: int, salts: int):
-    """Both index entries of every vector."""
-    half = rotation.shape[1] // 2
+def _index(centre: np.ndarray, rotation: np.ndarray, substrings: int, group_bits: int, salts: int):
+    """The index entries of every vector, one per substring."""
+    half = rotation.shape[1] // substrings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,19 +99,19 @@ def _index(centre: np.ndarray, rotation: np.ndarray, group_bits: int, salts: int
             ok = ~np.isnan(x).any(1)
             ids, x = ids[ok], x[ok]
             vector = _binary(x - centre)
-            for side, code in enumerate(codes_of(x, centre, rotation)):
+            for side, code in enumerate(codes_of(x, centre, rotation, substrings)):
                 lane = ((side << group_bits) + (code >> (half - group_bits))) * salts + (ids * 2654435761 >> 7) % salts
                 yield _entries(lane, ids, code, 0, vector)
 
     return run
 
 
-def _probe(centre: np.ndarray, rotation: np.ndarray, group_bits: int, salts: int):
+def _probe(centre: np.ndarray, rotation: np.ndarray, substrings: int, group_bits: int, salts: int):
     """A query once per lane that it probes: those up to RADIUS high bits away.
 
     ``spare`` is the number of low bits that may still differ in that lane.
     """
-    half = rotation.shape[1] // 2
+    half = rotation.shape[1] // substrings
     flips = [sum(1 << g for g in c) for r in range(RADIUS + 1) for c in combinations(range(group_bits), r)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +120,7 @@ def _probe(centre: np.ndarray, rotation: np.ndarray, group_bits: int, salts: int
             ok = ~np.isnan(x).any(1)
             ids, x = ids[ok], x[ok]
             vector = _binary(x - centre)
-            for side, code in enumerate(codes_of(x, centre, rotation)):
+            for side, code in enumerate(codes_of(x, centre, rotation, substrings)):
                 for flip in flips:
                     near = code ^ (flip << (half - group_bits))
                     for salt in range(salts):
@@ -134,6 +150,8 @@ def nearest(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
     if limit is None and len(ids) > LARGE_BUCKET:
         kept = without_copies(ids, x, k)
         ids, x = ids[kept], x[kept]
+    if len(ids) > LARGE_BUCKET:
+        return _by_rings(qid, q, ids, x, k, limit)
     xx = (x * x).sum(1)
     # Squared distances in one product: [-2q, |q|^2, 1] times [x, 1, |x|^2].
     right = np.ascontiguousarray(np.column_stack([x, np.ones_like(xx), xx]).T)
@@ -159,6 +177,37 @@ def nearest(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
     return q_, i_, d_
 
 
+def _by_rings(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, limit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`nearest` for many rows, in the order of their distance from the rows' centre.
+
+    By the triangle inequality only a ring of rows, as wide as the k-th distance,
+    can hold the nearest; that distance is bounded by the rows next in order.
+    """
+    centre = x.mean(0, dtype=np.float64)
+    far, ask = (np.sqrt(((v - centre) ** 2).sum(1)) for v in (x, q))
+    order, turn = np.argsort(far, kind="stable"), np.argsort(ask, kind="stable")
+    ids, x, far = ids[order], x[order], far[order]
+    out = ([], [], [])
+    for i in range(0, len(q), 64):
+        w = turn[i : i + 64]
+        p, at = q[w], ask[w]
+        if limit is None:
+            a, b = np.searchsorted(far, [at[0], at[-1]])
+            a, b = max(0, min(a, len(far) - 1) - 256), min(len(far), b + 256)
+            d = ((p[:, None].astype(np.float64) - x[None, a:b]) ** 2).sum(2) if b - a <= 2048 else (p.astype(np.float64) ** 2).sum(1)[:, None] + (x[a:b].astype(np.float64) ** 2).sum(1)[None] - 2.0 * (p.astype(np.float64) @ x[a:b].T.astype(np.float64))
+            bound = np.partition(np.maximum(d, 0), min(k, b - a - 1), axis=1)[:, min(k, b - a - 1)]
+        else:
+            bound = limit[w]
+        ring = np.sqrt(np.minimum(bound, 1e300)) * (1 + 1e-6) + 1e-5
+        a, b = np.searchsorted(far, (at - ring).min()), np.searchsorted(far, (at + ring).max(), "right")
+        for s in range(a, b, LARGE_BUCKET):
+            e = min(s + LARGE_BUCKET, b)
+            c, j, d = nearest(qid[w], p, ids[s:e], x[s:e], k, bound)
+            for held, part in zip(out, (w[c], j, d)):
+                held.append(part)
+    return tuple(np.concatenate(o) for o in out) if out[0] else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+
+
 def best(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per query the k smallest distances, ties by id, each id once."""
     order = np.lexsort((ids, d, q))
@@ -181,7 +230,9 @@ def _search(half: int, group_bits: int, width: int, k: int):
     flips = {s: np.array([sum(1 << g for g in c) for r in range(1, s + 1) for c in combinations(range(low_bits), r)], np.int64) for s in range(RADIUS + 1)}
 
     def unpack(t: pa.Table):
-        x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(-1, width)
+        # Vectors have one width, so their bytes lie next to each other.
+        v = t.column("vector").combine_chunks()
+        x = np.frombuffer(v.buffers()[2], np.float32)[np.frombuffer(v.buffers()[1], np.int32)[v.offset] // 4 :][: len(v) * width].reshape(-1, width)
         return t.column("id").to_numpy(), t.column("bucket").to_numpy().astype(np.int64), x
 
     def run(index: pa.Table, probes: pa.Table) -> pa.Table:
@@ -257,7 +308,24 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return place.select("query", (F.col("place") + 1).alias("place"), F.col("n.id").alias("id"), F.sqrt("n.d2").alias("distance"))
 
 
-def similar(vectors: DataFrame, queries: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
+def exact(vectors: DataFrame, queries: DataFrame, features: Sequence[str], k: int, centre: np.ndarray | None = None) -> DataFrame | None:
+    """The k nearest others by comparing queries with all vectors, in blocks of queries; None without queries.
+
+    Result and handling of nulls as :func:`similar`.
+    """
+    asked = queries.select("id", *features)
+    blocks, out = math.ceil(asked.count() / BLOCK), None
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas().dropna()
+        if len(part):
+            q = part[list(features)].to_numpy(dtype=float)
+            middle = q.mean(0) if centre is None else centre
+            scan = vectors.select("id", *features).mapInArrow(_scan(part["id"].to_numpy(), q - middle, middle, k), FOUND)
+            out = scan if out is None else out.unionByName(scan)
+    return None if out is None else _top(out, k)
+
+
+def similar(vectors: DataFrame, queries: DataFrame, features: Sequence[str], k: int = 5, substrings: int = SUBSTRINGS) -> DataFrame:
     """The k most similar other vectors of each query: (query, place, id, distance).
 
     ``vectors`` has a unique BIGINT ``id`` and the ``features``; ``queries`` has
@@ -268,28 +336,25 @@ def similar(vectors: DataFrame, queries: DataFrame, features: Sequence[str], k:
     vectors; so a query gets fewer than k rows only if there are fewer. An empty
     table gives no rows.
     """
+    if substrings < 1:
+        raise ValueError("at least one substring")
     n = vectors.count()
     all_, asked = vectors.select("id", *features), queries.select("id", *features).dropDuplicates(["id"])
-    half = int(min(len(features) // 2, max(4, round(5 + math.log10(max(n, 10))))))
+    half = bits_for(n, len(features))
     share = min(1.0, 1.2 * SAMPLE_ROWS / max(n, 1))
     sample = all_.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).select(*features).limit(SAMPLE_ROWS).toPandas().dropna().to_numpy(dtype=float)
-    centre, rotation = learn(sample if len(sample) else np.zeros((1, len(features))), 2 * half)
+    centre, rotation = rotations(sample if len(sample) else np.zeros((1, len(features))), half, substrings)
     group_bits = int(min(half - 1, max(2, math.ceil(math.log2(max(n, 1) / TASK_ROWS)))))
     # The largest lane of the sample tells into how many parts lanes are salted.
-    lanes = [np.bincount(c >> (half - group_bits), minlength=1 << group_bits).max() / max(len(sample), 1) for c in codes_of(sample, centre, rotation)] if len(sample) else [0]
+    lanes = [np.bincount(c >> (half - group_bits), minlength=1 << group_bits).max() / max(len(sample), 1) for c in codes_of(sample, centre, rotation, substrings)] if len(sample) else [0]
     salts = max(1, math.ceil(max(lanes) * n / (4 * TASK_ROWS)))
-    index = all_.mapInArrow(_index(centre, rotation, group_bits, salts), ENTRY)
-    probes = asked.mapInArrow(_probe(centre, rotation, group_bits, salts), ENTRY)
+    index = all_.mapInArrow(_index(centre, rotation, substrings, group_bits, salts), ENTRY)
+    probes = asked.mapInArrow(_probe(centre, rotation, substrings, group_bits, salts), ENTRY)
     found = index.groupBy("lane").cogroup(probes.groupBy("lane")).applyInArrow(_search(half, group_bits, len(features), k), FOUND)
     first = materialize(_top(found, k), "found")
     enough = first.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query").alias("id"))
     rest = materialize(asked.dropna().join(enough, "id", "left_anti"), "rest")
-    left = rest.count()
-    out = first.join(rest.select(F.col("id").alias("query")), "query", "left_anti") if left else first
-    blocks = math.ceil(left / BLOCK)
-    for block in range(blocks):
-        part = rest.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
-        if len(part):
-            scan = all_.mapInArrow(_scan(part["id"].to_numpy(), part[list(features)].to_numpy(dtype=float) - centre, centre, k), FOUND)
-            out = out.unionByName(_top(scan, k))
-    return out
+    late = exact(all_, rest, features, k, centre)
+    if late is None:
+        return first
+    return first.join(rest.select(F.col("id").alias("query")), "query", "left_anti").unionByName(late)

@@ -101,6 +101,22 @@ def p2_similar(spark: SparkSession, d: str) -> DataFrame:
     return hashing.similar(vectors, vectors.where("id % 20 = 0"), VECTOR).select(F.col("query").alias("row_id"), "place", F.col("id").alias("similar_row_id"), "distance")
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of p2_similar, pairs found and, by comparing each query with all transactions, true; recall by distance.
+
+    A found transaction counts if it is no farther than the true one of the last place.
+    """
+    vectors = materialize(_vectors(spark, d), "vectors")
+    asked = vectors.where("id % 20 = 0")
+    found, true = hashing.similar(vectors, asked, VECTOR), hashing.exact(vectors, asked, VECTOR, 5)
+    if true is None:
+        return spark.createDataFrame([], "queries bigint, true_pairs bigint, found_pairs bigint, recall double")
+    last = true.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("edge"))
+    got = found.join(last.select("query", "edge"), "query").groupBy("query").agg(F.count_if(F.col("distance") <= F.col("edge") + 1e-6).alias("hit"))
+    c = last.join(got, "query", "left").agg(F.count("*").alias("queries"), F.sum("n").alias("true_pairs"), F.sum(F.coalesce("hit", F.lit(0))).alias("found_pairs"))
+    return c.withColumn("recall", F.round(F.try_divide("found_pairs", "true_pairs"), 4))
+
+
 _ANGLE = "(Time % 86400) / 3600 * (2 * pi() / 24)"
 P2_FOUND = f"""
 WITH v AS (SELECT row_id, [{", ".join(V_COLUMNS)}, ln(1 + Amount), sin({_ANGLE}), cos({_ANGLE})] AS x FROM creditcard WHERE Time + Amount + {" + ".join(V_COLUMNS)} IS NOT NULL),

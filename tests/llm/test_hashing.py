@@ -44,3 +44,27 @@ def test_copies_and_few_rows(spark):
 def test_empty(spark):
     df = frame(spark, np.zeros((0, 4)))
     assert hashing.similar(df, df, F3).count() == 0
+
+
+def test_rings_give_what_comparing_all_gives(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(700, 6)), rng.normal(3, 0.01, size=(900, 6)), np.full((60, 6), 3.0)]).astype(np.float32)
+    ids, q = np.arange(len(x)), x[::7]
+    want = hashing.best(*hashing.nearest(ids[::7], q, ids, x, 5), 5)
+    monkeypatch.setattr(hashing, "LARGE_BUCKET", 200)
+    got = hashing.best(*hashing.nearest(ids[::7], q, ids, x, 5), 5)
+    assert all((a == b).all() for a, b in zip(want, got))
+    limit = np.sort(want[2].reshape(-1, 5), axis=1)[:, 4]
+    got = hashing.best(*hashing.nearest(ids[::7], q, ids, x, 5, limit), 5)
+    assert all((a == b).all() for a, b in zip(want, got))
+
+
+def test_long_codes_and_more_substrings(spark):
+    assert hashing.bits_for(10**6, 31) == 11 and 18 <= hashing.bits_for(10**9, 31) <= 24
+    x = np.random.default_rng(3).normal(size=(3000, 4)).round(3)
+    df = frame(spark, x)
+    asked = df.where("id % 50 = 0")
+    true = {(r["query"], r["id"]) for r in hashing.exact(df, asked, F3, 5).collect()}
+    assert true == {(q, i) for q in range(0, 3000, 50) for i in brute(x, np.arange(3000), q)}
+    found = {(r["query"], r["id"]) for r in hashing.similar(df, asked, F3, substrings=3).collect()}
+    assert len(true & found) / len(true) >= 0.9
