@@ -349,8 +349,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Words in lists, and in pieces stitched from other hosts' phrases, of every page."""
-    return stuffing.evidence(_pages(spark, d)).select(F.col("id").alias("doc_id"), "words", "listed", "replicated", F.round("share", 6).alias("share"))
+    """Words in lists, in pieces stitched from other hosts' phrases, and in such phrases at all, of every page."""
+    return stuffing.evidence(_pages(spark, d)).select(F.col("id").alias("doc_id"), "words", "listed", "stitched", "replicated", F.round("share", 6).alias("share"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,15 +1,22 @@
 """Keyword-stuffed and link-list pages.
 
-A page is cut into pieces at line breaks and ends of sentences. Words of links
+Every page's words, digits read as 0, are cut into phrases of five that run
+across lines and markup; the phrases are exploded and it is counted over the
+whole crawl on how many hosts each stands. That evidence is joined with list
+density: a page is cut into pieces at line breaks and ends of sentences. Words of links
 (with their labels), of tags and of product items (code, goods, price) are list
 words as such. Any other piece is measured for list density: the share of
 function words and how often its word pairs recur. Lists of members voting or
 present, items of agendas and tables most of whose cells are numbers are set
 aside. Short lines in a row are measured as one piece, and so are short
-sentences in a row, which are a list only if their word pairs recur. What looks like a list of keywords without being decided
-by density alone is decided by replication: the five-word phrases of all pieces,
-whatever their density, are exploded and their distinct hosts are counted over
-the whole crawl. A page is flagged if more than half of its words are in lists.
+sentences in a row, which are a list only if their word pairs recur. A piece that
+looks like a list without being decided by density is decided by replication: it
+is stitched if most of its phrases stand on other hosts too. A page is flagged
+if more than half of its words are in lists.
+
+Replication alone cannot decide: speeches, agendas and tables repeat phrases
+across hosts at least as much as spam does. So phrases with a function word,
+which stand among sentences, do not count as evidence for a page.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quartzfold.session import materialize
 
@@ -43,8 +51,8 @@ SHORT = 8
 FEW, SOME = 0.06, 0.34
 #: From this share of recurring word pairs on a piece is a list, whatever its function words; from the second on it may be one.
 OFTEN, SOMETIMES = 0.4, 0.12
-#: Words of a phrase, and hosts on which it must stand.
-PHRASE, HOSTS = 5, 2
+#: Words of a phrase.
+PHRASE = 5
 #: Share of a page's words.
 MOST = 0.5
 
@@ -57,7 +65,10 @@ TAG = re.compile(r"(?<!\w)#\w+")
 GOODS = r"(?:[^\S\n]+[^\W\d_][\w'’-]*)"
 PRICE = r"[^\S\n]+[$€£]?\d+[.,]\d{2}(?!\w)"
 PRODUCT = re.compile(rf"(?<![\w-])(?:(?:SKU[^\S\n]+)?[^\W\d_]\w*-\d+{GOODS}{{1,6}}{PRICE}|SKU[^\S\n]+[\w-]*\d[\w-]*{GOODS}{{0,6}}(?:{PRICE}|(?=[^\S\n]*(?:[\n;|]|$))))")
+#: Without a match no product item can be there.
+CODE = re.compile(r"\w-\d|SKU")
 WORD = re.compile(r"[^\W_]+")
+DIGITS = re.compile(r"\d")
 ELIDED = re.compile(r"(?<![\w-])[cdjlmnst](?=['’][^\W\d_])", re.I)
 NUMERIC = re.compile(r"[\s\d.,/%+–-]*\d[\s\d.,/%+–-]*")
 
@@ -126,45 +137,65 @@ def _heads(pieces: list[str], i: int) -> bool:
 
 
 def _words(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
 
 
 #: Odd multipliers by which the hashes of a phrase's words are added up, modulo 2^64.
 PLACES = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(PHRASE)], np.uint64)
+#: Hashes of words seen by this process, forgotten when there are too many.
+SEEN: dict[str, int] = {}
+MOST_SEEN = 500_000
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    if len(SEEN) > MOST_SEEN:
+        SEEN.clear()
+    out = []
+    for w in words:
+        h = SEEN.get(w)
+        if h is None:
+            h = SEEN[w] = xxhash.xxh3_64_intdigest(DIGITS.sub("0", w))
+        out.append(h)
+    return np.array(out, np.uint64)
 
 
 def phrases(words: list[str]) -> np.ndarray:
-    """Hashes of all phrases of a piece, in order."""
+    """Hashes of all phrases of a row of words, in order; digits count as 0."""
     if len(words) < PHRASE:
         return np.zeros(0, np.int64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    h = _hashes(words)
     n = len(words) - PHRASE + 1
     return sum(h[k : k + n] * PLACES[k] for k in range(PHRASE)).view(np.int64)
 
 
-def measure(text: str | None, others: list[np.ndarray] | None = None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
-    """Words, list words, and the pieces in doubt: (words, hashes of their phrases).
+def listlike(words: list[str]) -> np.ndarray:
+    """Which phrases have no function word, and not only numbers."""
+    if len(words) < PHRASE:
+        return np.zeros(0, bool)
+    n = len(words) - PHRASE + 1
+    function = np.cumsum([0, *[len(w) > 1 and w in FUNCTION_WORDS for w in words]])
+    number = np.cumsum([0, *[w.isdigit() for w in words]])
+    at = np.arange(n)
+    return (function[at + PHRASE] == function[at]) & (number[at + PHRASE] - number[at] < PHRASE)
+
 
-    The phrases of all other pieces are appended to ``others``, if given.
-    """
+def measure(text: str | None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
+    """Words, list words, and the pieces in doubt: (words, hashes of their phrases)."""
     if not text:
         return 0, 0, []
-    others = [] if others is None else others
     listed = 0
-    for pattern in (ANCHOR, MARKED, TAG):
-        found = pattern.findall(text)
+    for mark, pattern in (("<", ANCHOR), ("](", MARKED), ("#", TAG)):
+        found = pattern.findall(text) if mark in text else ()
         if found:
             # A link counts as the words of its label, at least as one.
             labels = [re.sub(r"<[^>]*>|\([^)]*\)", " ", m) for m in found]
             listed += sum(max(1, len(m.split())) for m in labels)
-            others += [phrases(_words(m)) for m in labels]
             text = pattern.sub(" ", text)
-    items = PRODUCT.findall(text)
+    items = PRODUCT.findall(text) if CODE.search(text) else ()
     if items:
         listed += sum(len(WORD.findall(m)) for m in items)
-        others += [phrases(_words(m)) for m in items]
         text = PRODUCT.sub(" ", text)
-    if LINK.search(text):
+    if ("/" in text or "www." in text.lower()) and LINK.search(text):
         lines = []
         rows = text.split("\n")
         alone = [bool(LINK.search(r)) and not WORD.search(LINK.sub(" ", r)) for r in rows]
@@ -174,7 +205,6 @@ def measure(text: str | None, others: list[np.ndarray] | None = None) -> tuple[i
             around = WORD.findall(rest)
             if links and len(around) <= LABEL * links and not re.search(r"[.!?]", rest):
                 listed += links + len(around)
-                others.append(phrases(_words(rest)))
             elif not links and 0 < len(around) < LEAST_WORDS and (alone[i - 1 : i] == [True] or alone[i + 1 : i + 2] == [True]) and not re.search(r"[.!?…:)\]]\s*$", line):
                 # A label on the line before or after its link.
                 listed += len(around)
@@ -184,77 +214,85 @@ def measure(text: str | None, others: list[np.ndarray] | None = None) -> tuple[i
         text = "\n".join(lines)
     total, doubt = listed, []
     for kind, run in _runs(PIECES.split(text)):
-        if kind == "lines":
-            # Numbers of the lines of a numbered list are not part of what recurs.
-            measured = " ".join(re.sub(r"^\s*\d+[.)]\s", " ", r) for r in run)
-        else:
-            measured = " ".join(run)
         piece = " ".join(run)
         words = _words(piece)
         # Letters parted by marks are one word.
-        n = len(words) if sum(len(w) == 1 for w in words) <= len(words) / 2 else max(1, len(piece.split()))
+        n = len(words) if sum([len(w) == 1 for w in words]) <= len(words) / 2 else max(1, len(piece.split()))
         total += n
-        words = _words(measured)
-        hashes = phrases(words)
+        measured = piece
+        if kind == "lines":
+            # Numbers of the lines of a numbered list are not part of what recurs.
+            measured = " ".join([re.sub(r"^\s*\d+[.)]\s", " ", r) for r in run])
+            words = _words(measured)
         if kind == "table" or len(words) < LEAST_WORDS or _is_roll(piece) or (kind == "lines" and len(run) > 1 and _is_names(run)):
-            others.append(hashes)
             continue
         # Single letters are mostly parts of parted words and say nothing, but elided articles count.
-        longer, elided = [w for w in words if len(w) > 1], len(ELIDED.findall(measured))
-        function = (sum(w in FUNCTION_WORDS for w in longer) + elided) / max(1, len(longer) + elided)
-        pairs = list(zip(words, words[1:]))
-        recur = 1 - len(set(pairs)) / len(pairs)
+        longer = [w for w in words if len(w) > 1]
+        elided = len(ELIDED.findall(measured)) if "'" in measured or "’" in measured else 0
+        function = (len([w for w in longer if w in FUNCTION_WORDS]) + elided) / max(1, len(longer) + elided)
+        recur = 1 - len(set(zip(words, words[1:]))) / (len(words) - 1)
         if kind == "sentences" and (recur < OFTEN or function >= SOME):
             # Formulas of the chair: short sentences that do not recur.
-            others.append(hashes)
             continue
         if function < FEW or recur >= OFTEN:
             listed += n
-            others.append(hashes)
         elif function < SOME / 2 or (recur >= SOMETIMES and function < SOME):
-            doubt.append((n, hashes))
-        else:
-            others.append(hashes)
+            doubt.append((n, phrases(words)))
     return total, listed, doubt
 
 
+def _lists(arrays: list[np.ndarray], dtype) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(a) for a in arrays]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype), *arrays])))
+
+
+MEASURED = "id bigint, host string, words int, listed int, doubt array<struct<words:int,phrases:array<bigint>>>, phrases array<bigint>, places array<int>, listlike array<bigint>"
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("words", pa.int32()), ("phrases", pa.list_(pa.int64()))]))
     for b in batches:
-        rows, others = [], []
+        rows, all_, places, marked = [], [], [], []
         for t in b.column("text").to_pylist():
-            rest: list[np.ndarray] = []
-            rows.append(measure(t, rest))
+            r = measure(t)
+            words = _words(t or "")
+            page, own = phrases(words), np.flatnonzero(listlike(words))
+            rows.append(r)
             # A host counts once for a phrase, however often a page has it.
-            others.append(np.unique(np.concatenate(rest)) if rest else np.zeros(0, np.int64))
+            all_.append(np.unique(np.concatenate([page, *[p for _, p in r[2]]])))
+            places.append(own.astype(np.int32))
+            marked.append(page[own])
         doubt = [[{"words": n, "phrases": p.tolist()} for n, p in r[2]] for r in rows]
-        kind = pa.list_(pa.struct([("words", pa.int32()), ("phrases", pa.list_(pa.int64()))]))
-        ends = np.cumsum([0, *[len(o) for o in others]], dtype=np.int32)
-        rest_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *others])))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(doubt, kind), rest_], names=["id", "host", "words", "listed", "doubt", "others"])
+        columns = [b.column("id"), b.column("host"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(doubt, kind), _lists(all_, np.int64), _lists(places, np.int32), _lists(marked, np.int64)]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MEASURED.split(", ")])
 
 
 def evidence(pages: DataFrame) -> DataFrame:
-    """List words of every page: (id, words, listed, replicated, share).
+    """List words of every page: (id, words, listed, stitched, replicated, share).
 
     ``pages`` has a unique BIGINT ``id``, ``text`` and ``host``. ``replicated``
-    are words of pieces in doubt most of whose phrases stand on other hosts too,
-    in whatever kind of piece; a null host counts as one host. A null or empty text has share 0. An empty
-    table gives no rows.
+    are words of the page in phrases without a function word that stand on other
+    hosts too; ``stitched`` are words of pieces in doubt most of whose phrases
+    do. A null host counts as one host. ``share`` is the part of the words that
+    are listed or stitched. A null or empty text has share 0. An empty table
+    gives no rows.
     """
-    schema = "id bigint, host string, words int, listed int, doubt array<struct<words:int,phrases:array<bigint>>>, others array<bigint>"
-    measured = materialize(pages.select("id", F.coalesce("host", F.lit("")).alias("host"), "text").mapInArrow(_measured, schema), "measured")
-    pieces = measured.select("id", "host", F.posexplode("doubt").alias("piece", "d")).select("id", "host", "piece", F.col("d.words").alias("n"), F.explode("d.phrases").alias("phrase"))
-    counted = pieces.groupBy("id", "host", "piece", "n", "phrase").agg(F.count("*").alias("times"))
-    # Counts are needed for the phrases of pieces in doubt only, but over all pieces of the crawl.
-    everywhere = measured.select("host", F.explode("others").alias("phrase")).join(counted.select("phrase").distinct(), "phrase", "left_semi")
-    everywhere = everywhere.select("phrase", "host").unionByName(counted.select("phrase", "host")).distinct()
-    hosts = everywhere.groupBy("phrase").agg(F.count("*").alias("hosts"))
-    # Phrases on one host only are left out of the join: they are most of them.
-    spread = counted.join(hosts.where(F.col("hosts") >= HOSTS), "phrase").groupBy("id", "piece").agg(F.sum("times").alias("elsewhere"))
-    all_ = counted.groupBy("id", "piece").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
-    stitched = all_.join(spread, ["id", "piece"]).where(F.col("elsewhere") > F.col("times") / 2).groupBy("id").agg(F.sum("n").alias("replicated"))
-    out = measured.select("id", "words", "listed").join(stitched, "id", "left").withColumn("replicated", F.coalesce("replicated", F.lit(0)))
-    return out.withColumn("share", F.coalesce(F.try_divide(F.col("listed") + F.col("replicated"), F.col("words")), F.lit(0.0)))
+    measured = materialize(pages.select("id", F.coalesce("host", F.lit("")).alias("host"), "text").mapInArrow(_measured, MEASURED), "measured")
+    # Two hosts are told by the smallest and the largest: a state that is combined before the shuffle.
+    hosts = measured.select(F.xxhash64("host").alias("host"), F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.min("host").alias("a"), F.max("host").alias("b"))
+    # What stands on one host only is left out of the joins.
+    spread = materialize(hosts.where("a <> b").select("phrase"), "spread")
+    pieces = measured.select("id", F.posexplode("doubt").alias("piece", "d")).select("id", "piece", F.col("d.words").alias("n"), F.explode("d.phrases").alias("phrase"))
+    found = pieces.join(spread.withColumn("elsewhere", F.lit(1)), "phrase", "left").groupBy("id", "piece").agg(F.max("n").alias("n"), F.count("*").alias("times"), F.count("elsewhere").alias("elsewhere"))
+    stitched = found.where(F.col("elsewhere") > F.col("times") / 2).groupBy("id").agg(F.sum("n").alias("stitched"))
+    marked = measured.select("id", F.explode(F.arrays_zip("places", F.col("listlike").alias("phrase"))).alias("z")).select("id", "z.places", "z.phrase").join(spread, "phrase", "left_semi")
+    # Words covered: a phrase adds what the one before it does not reach.
+    order = Window.partitionBy("id").orderBy("places")
+    own = F.least(F.lit(PHRASE), F.coalesce(F.col("places") - F.lag("places").over(order), F.lit(PHRASE)))
+    replicated = marked.select("id", own.alias("own")).groupBy("id").agg(F.sum("own").alias("replicated"))
+    out = measured.select("id", "words", "listed").join(stitched, "id", "left").join(replicated, "id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("stitched", "replicated")})
+    return out.withColumn("share", F.coalesce(F.try_divide(F.col("listed") + F.col("stitched"), F.col("words")), F.lit(0.0)))
 
 
 def spam_pages(pages: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def test_replication_decides_pieces_in_doubt(spark):
     piece = "harbour levy school meals the grain reserve urgent road tolls in valleys school meals rural routes bridge"
     own = "lake charter dairy premium the tram reserve careful bridge funds in hills dairy premium night routes ferry"
     rows = [(1, piece, "a"), (2, piece, "b"), (3, piece, "c"), (4, own, "a"), (5, own, "a")]
-    got = {r["id"]: r["replicated"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
+    got = {r["id"]: r["stitched"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
     assert got[1] > 0 and got[2] > 0 and got[4] == got[5] == 0
 
 
@@ -67,7 +67,7 @@ def test_phrases_are_counted_in_all_pieces(spark):
     assert len(stuffing.measure(doubtful)[2]) == 1 and not stuffing.measure(decided)[2] and not stuffing.measure(running)[2]
     own = "lake charter dairy premium the tram reserve careful bridge funds in hills dairy premium night routes ferry"
     rows = [(1, doubtful, "a"), (2, decided, "b"), (3, running, "b"), (4, own, "a"), (5, decided, "a")]
-    got = {r["id"]: r["replicated"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
+    got = {r["id"]: r["stitched"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
     assert got[1] > 0 and got[4] == 0
 
 
@@ -75,3 +75,9 @@ def test_strong_recurrence_decides_whatever_the_function_words():
     assert share("hoteles en la costa " * 100) == 1
     assert share("official d3tox offici@l detox o-f-f-i-c-i-a-l- -d-e-t-o-x OFFICIAL DETOX " * 6) == 1
     assert share(SPEECH * 20) == 0
+
+
+def test_phrases_run_across_lines_and_digits_count_as_zero(spark):
+    rows = [(1, "red roof\ntiles 17 cheap\nwatches", "a"), (2, "x y red roof tiles 23 cheap watches zz", "b"), (3, "red roof tiles 55 cheap watches", "c"), (4, "the red roof tiles 55 and cheap watches", "d"), (5, "lone words on this host only and nowhere", "e"), (6, "1 2 3 4 5 6 7", "f"), (7, "8 9 1 2 3 4 5", "g")]
+    got = {r["id"]: r["replicated"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
+    assert got == {1: 6, 2: 6, 3: 6, 4: 0, 5: 0, 6: 0, 7: 0}
