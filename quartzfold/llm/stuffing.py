@@ -11,12 +11,13 @@ present, items of agendas and tables most of whose cells are numbers are set
 aside. Short lines in a row are measured as one piece, and so are short
 sentences in a row, which are a list only if their word pairs recur. A piece that
 looks like a list without being decided by density is decided by replication: it
-is stitched if most of its phrases stand on other hosts too. A page is flagged
+is stitched if most of its phrases without a function word stand on other hosts
+too. A page is flagged
 if more than half of its words are in lists.
 
 Replication alone cannot decide: speeches, agendas and tables repeat phrases
 across hosts at least as much as spam does. So phrases with a function word,
-which stand among sentences, do not count as evidence for a page.
+which stand among sentences, are no evidence for a page or piece.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ FEW, SOME = 0.06, 0.34
 OFTEN, SOMETIMES = 0.4, 0.12
 #: Words of a phrase.
 PHRASE = 5
+#: Share of phrases without a function word from which on a piece in doubt is decided by them.
+LISTLIKE = 0.2
 #: Share of a page's words.
 MOST = 0.5
 
@@ -180,7 +183,7 @@ def listlike(words: list[str]) -> np.ndarray:
 
 
 def measure(text: str | None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
-    """Words, list words, and the pieces in doubt: (words, hashes of their phrases)."""
+    """Words, list words, and the pieces in doubt: (words, hashes of their phrases without a function word)."""
     if not text:
         return 0, 0, []
     listed = 0
@@ -237,7 +240,9 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
         if function < FEW or recur >= OFTEN:
             listed += n
         elif function < SOME / 2 or (recur >= SOMETIMES and function < SOME):
-            doubt.append((n, phrases(words)))
+            page, own = phrases(words), listlike(words)
+            if own.sum() >= LISTLIKE * len(own):
+                doubt.append((n, page[own]))
     return total, listed, doubt
 
 
