@@ -71,6 +71,7 @@ PRODUCT = re.compile(rf"(?<![\w-])(?:(?:SKU[^\S\n]+)?[^\W\d_]\w*-\d+{GOODS}{{1,6
 #: Without a match no product item can be there.
 CODE = re.compile(r"\w-\d|SKU")
 WORD = re.compile(r"[^\W_]+")
+COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 DIGITS = re.compile(r"\d")
 ELIDED = re.compile(r"(?<![\w-])[cdjlmnst](?=['’][^\W\d_])", re.I)
 NUMERIC = re.compile(r"[\s\d.,/%+–-]*\d[\s\d.,/%+–-]*")
@@ -230,7 +231,8 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
         if kind == "table" or len(words) < LEAST_WORDS or _is_roll(piece) or (kind == "lines" and len(run) > 1 and _is_names(run)):
             continue
         # Single letters are mostly parts of parted words and say nothing, but elided articles count.
-        longer = [w for w in words if len(w) > 1]
+        # A word of a compound ("-sur-" in a name of a place) is no function word.
+        longer = [w for w in (COMPOUND.findall(measured.lower()) if "-" in measured else words) if len(w) > 1]
         elided = len(ELIDED.findall(measured)) if "'" in measured or "’" in measured else 0
         function = (len([w for w in longer if w in FUNCTION_WORDS]) + elided) / max(1, len(longer) + elided)
         recur = 1 - len(set(zip(words, words[1:]))) / (len(words) - 1)

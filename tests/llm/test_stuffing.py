@@ -81,3 +81,8 @@ def test_phrases_run_across_lines_and_digits_count_as_zero(spark):
     rows = [(1, "red roof\ntiles 17 cheap\nwatches", "a"), (2, "x y red roof tiles 23 cheap watches zz", "b"), (3, "red roof tiles 55 cheap watches", "c"), (4, "the red roof tiles 55 and cheap watches", "d"), (5, "lone words on this host only and nowhere", "e"), (6, "1 2 3 4 5 6 7", "f"), (7, "8 9 1 2 3 4 5", "g")]
     got = {r["id"]: r["replicated"] for r in stuffing.evidence(spark.createDataFrame(rows, "id bigint, text string, host string")).collect()}
     assert got == {1: 6, 2: 6, 3: 6, 4: 0, 5: 0, 6: 0, 7: 0}
+
+
+def test_words_of_compounds_are_no_function_words():
+    goods = ["top amber", "loans Drouzour-sur-Vey", "yoga mats Ploufeith-sur-Vey", "outlet tyres Kyn-sur-Vey", "ladders Baegol-sur-Vey", "casino bonus Veimyn-sur-Vey", "barato cases", "curtains Rath-sur-Vey", "sneakers"]
+    assert share("\n".join(goods)) == 1 and share(" ".join(goods)) == 1
