@@ -116,3 +116,22 @@ def overlap(sets: DataFrame) -> DataFrame:
     names = sizes.agg(F.collect_set("fold_a").alias("f"))
     grid = names.select(F.explode("f").alias("fold_a"), "f").select("fold_a", F.explode("f").alias("fold_b"))
     return grid.join(sizes, "fold_a").join(both, ["fold_a", "fold_b"], "left").select("fold_a", "fold_b", (100.0 * F.coalesce("both", F.lit(0)) / F.col("size")).alias("overlap"))
+
+
+def undersampled_parts(rows: DataFrame, target: str, legitimate: int, seed: int = 42, key: str = "row_id") -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """Folds whose training part keeps ``legitimate`` rows of class 0, other parts as they are.
+
+    ``rows`` has fold and part. Every fold is drawn with a seed of its own, made
+    of the seed and the fold. Where inner folds share a fold's number they keep
+    what the outer training part kept: draw once and join. Also returns per fold
+    the rows of class 0 before and after.
+    """
+    train = rows.where("part = 'train'")
+    counts = {r[0]: r[1] for r in train.where(F.col(target) == 0).groupBy("fold").count().collect()}
+    out, sizes = rows.where("part <> 'train'"), {}
+    for fold in sorted(r[0] for r in rows.select("fold").distinct().collect()):
+        n = counts.get(fold, 0)
+        fraction = legitimate_fraction(n, min(legitimate, n)) if n else 1.0
+        out = out.unionByName(undersample(train.where(F.col("fold") == fold), target, fraction, f"{seed}-{fold}", key=key))
+        sizes[fold] = (n, round_half_up(n * fraction))
+    return out, sizes

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Callable
 
@@ -737,10 +736,6 @@ def training_weights(spark, d):
     return base(spark, d).groupBy(models.training_weights("forest", "Class", 3.0).alias("weight")).agg(F.count("*").alias("n"))
 
 
-def _configurations(values):
-    return [dict(zip(values, c)) for c in itertools.product(*values.values())]
-
-
 def _outer(spark, d, kind, params):
     f = folds(spark, d)
     x = features.derive(f, excluded=["hour_sin", "hour_cos"], keep=["row_id", "Class", "fold"])
@@ -756,13 +751,13 @@ def _outer(spark, d, kind, params):
 @query()
 def rf_outer_eval(spark, d):
     """A forest of the grid's first configuration on each outer fold."""
-    return _outer(spark, d, "forest", _configurations(experiment.FOREST_GRID)[0])
+    return _outer(spark, d, "forest", experiment.clean_parameters(experiment.configurations(experiment.FOREST_GRID)[0]))
 
 
 @query()
 def gbt_outer_eval(spark, d):
     """A boosted model of the grid's first configuration on each outer fold."""
-    return _outer(spark, d, "boost", _configurations(experiment.BOOST_GRID)[0])
+    return _outer(spark, d, "boost", experiment.clean_parameters(experiment.configurations(experiment.BOOST_GRID)[0]))
 
 
 def _search(spark, d, kind, values):
@@ -772,7 +767,7 @@ def _search(spark, d, kind, values):
     columns = [c for c in x.columns if c not in ("row_id", "Class", "fold")]
     x = x.withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(1, 6)]))).where("own <> fold")
     x = x.withColumn("part", F.when(F.col("own") == F.pmod(F.col("fold"), F.lit(5)) + 1, "val").otherwise("train"))
-    m = pipeline.supervised_search(x, _configurations(values), kind, columns)
+    m = pipeline.supervised_search(x, experiment.configurations(values), kind, columns)
     return rounded(m, "precision", "recall", "f1", "average_precision")
 
 
@@ -788,7 +783,8 @@ def gbt_search(spark, d):
     return _search(spark, d, "boost", experiment.BOOST_GRID)
 
 
-VECTOR_GRID = {"min_cluster_size": [5, 10], "min_samples": [5, 10]}
+VECTOR_RUN = experiment.RunConfig(distance="euclidean", alert_rate=0.1, extra_rates=(0.05, 0.2), extra_metrics=("dbcv",), min_cluster_size=(5, 10), min_samples=(5, 10))
+TIMES = ("train_time_min", "val_time_min", "predict_time_min")
 
 
 def _vector_folds(spark, d):
@@ -800,18 +796,44 @@ def _vector_folds(spark, d):
 
 @query()
 def inner_cycle(spark, d):
-    """Every combination of the grid on every inner fold: clustering, validity, scores, metrics."""
-    return pipeline.trials(_vector_folds(spark, d).where("part <> 'test'"), experiment.grid(spark, VECTOR_GRID), 0.1).drop("train_time_min", "val_time_min")
+    """Every combination of the grid on every inner fold: clustering, validity, all scores, metrics at all rates."""
+    return pipeline.inner_cycle(_vector_folds(spark, d).where("part <> 'test'"), VECTOR_RUN).drop(*TIMES)
 
 
 @query()
 def outer_cycle(spark, d):
     """The inner cycle's best configuration on every outer fold, with mean and deviation."""
     f = _vector_folds(spark, d)
-    history_ = materialize(pipeline.trials(f.where("part <> 'test'"), experiment.grid(spark, VECTOR_GRID), 0.1), "history")
-    best = experiment.best_of_winners(experiment.best_per_fold(history_, "disco_score"), "disco_score").select("combo_id", *VECTOR_GRID)
-    outer = pipeline.trials(f.where("part <> 'val'"), best, 0.1)
-    return pipeline.with_summary(outer.drop("train_time_min", "val_time_min"), ["disco_score", "precision", "recall", "f1", "auprc"])
+    _, by_fold = pipeline.select_best(pipeline.inner_cycle(f.where("part <> 'test'"), VECTOR_RUN), VECTOR_RUN)
+    params = pipeline.best_configuration(by_fold, VECTOR_RUN)
+    return pipeline.with_summary(pipeline.outer_cycle(f.where("part <> 'val'"), params, VECTOR_RUN).drop(*TIMES))
+
+
+RUN_FOLDS = f"""WITH {FOLDS}, o AS (SELECT f.*, outer_fold FROM folds f, (SELECT unnest([1, 2, 3, 4, 5]) AS outer_fold)),
+u AS (SELECT DISTINCT outer_fold, {', '.join(V_COLUMNS)}, ln(1 + Amount) AS a FROM o WHERE fold <> outer_fold)"""
+
+
+def _prepared(spark, d, distance):
+    config = experiment.RunConfig(distance=distance)
+    rows = folds(spark, d).withColumnRenamed("fold", "own").withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])))
+    return pipeline.prepare(rows.withColumn("part", F.when(F.col("own") == F.col("fold"), "test").otherwise("train")), config)
+
+
+SQUARE = "aggregate(vector, 0D, (a, v) -> a + v * v)"
+
+
+@query(RUN_FOLDS + f""", m AS (SELECT outer_fold, {', '.join(f'avg({c}) AS m_{c}' for c in V_COLUMNS)}, avg(a) AS m_a, stddev_pop(a) AS s_a FROM u GROUP BY outer_fold)
+SELECT o.outer_fold AS fold, o.row_id AS id, round(sqrt({' + '.join(f'({c} - m_{c}) * ({c} - m_{c})' for c in V_COLUMNS)} + pow((ln(1 + Amount) - m_a) / s_a, 2)), 6) AS distance FROM o JOIN m ON o.outer_fold = m.outer_fold WHERE o.fold = o.outer_fold""")
+def prepared_euclidean(spark, d):
+    """Distance from the training centre of every evaluated row, features standardised and centred on each outer fold's training part."""
+    return rounded(_prepared(spark, d, "euclidean").where("part = 'test'").select("fold", "id", F.sqrt(F.expr(SQUARE)).alias("distance")), "distance")
+
+
+@query(RUN_FOLDS + " SELECT outer_fold AS fold, count(*) AS n, round(29.0 * (count(*) - 1) / count(*), 5) AS mean_square FROM u GROUP BY outer_fold")
+def prepared_mahalanobis(spark, d):
+    """Mean square of the whitened training rows: the number of features times (n - 1) / n."""
+    x = _prepared(spark, d, "mahalanobis").where("part = 'train'")
+    return rounded(x.groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.expr(SQUARE)).alias("mean_square")), "mean_square", digits=5)
 
 
 # --- reports -------------------------------------------------------------------------------------

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quartzfold.sources import shared
 from quartzfold.sources.tables import V_COLUMNS
 
 #: Columns of the transactions in their order.
@@ -56,10 +56,9 @@ def fold_metadata(folds: DataFrame, seed: int, target: str = "Class") -> DataFra
 
 def write_json(rows: DataFrame, folder: str, name: str = "fold_{fold}_info.json") -> None:
     """One readable JSON file per row; for the few rows of metadata only."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
     for r in rows.select(F.to_json(F.struct("*"))).toLocalIterator():
         record = json.loads(r[0])
-        (Path(folder) / name.format(**record)).write_text(json.dumps(record, indent=4, ensure_ascii=False), encoding="utf-8")
+        shared.write_text(rows.sparkSession, f"{str(folder).rstrip('/')}/{name.format(**record)}", json.dumps(record, indent=4, ensure_ascii=False))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

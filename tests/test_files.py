@@ -49,11 +49,11 @@ def test_grid_history_and_guard(spark, tmp_path):
         experiment.matching_rows(h.withColumn("gamma", F.lit("7")), g, names)
     assert experiment.plain("0") == experiment.plain(0.0) == 0 and experiment.plain(float("nan")) is None and experiment.plain("sqrt") == "sqrt"
     c = experiment.RunConfig()
-    experiment.guard(tmp_path / "run", c, resume=False)
-    experiment.guard(tmp_path / "run", c, resume=True)
+    experiment.guard(spark, str(tmp_path / "run"), c, resume=False)
+    experiment.guard(spark, str(tmp_path / "run"), c, resume=True)
     with pytest.raises(ValueError):
-        experiment.guard(tmp_path / "run", experiment.RunConfig(alert_rate=0.01), resume=True)
-    for bad in ({"distance": "cosine"}, {"score": "x"}, {"selection": "f1"}, {"alert_rate": 1.0}, {"base": "half"}):
+        experiment.guard(spark, str(tmp_path / "run"), experiment.RunConfig(alert_rate=0.01), resume=True)
+    for bad in ({"distance": "cosine"}, {"score": "x"}, {"selection": "f1"}, {"alert_rate": 1.0}, {"base": "half"}, {"excluded": ("V99",)}, {"extra_scores": ("p",)}):
         with pytest.raises(ValueError):
             experiment.RunConfig(**bad)
     assert experiment.metric_at("f1", 0.0017) == "f1_at_0.0017"
