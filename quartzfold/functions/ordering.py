@@ -43,12 +43,18 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], d
     """Adds ``cum_<c>``: the sum of c over rows of the group up to and including this one.
 
     ``order`` must be numeric and unique within a group: aggregate ties first.
+    Every group is cut into lanes at quantiles of its own, so that a group of
+    another range than the rest does not fall into one lane.
     """
     df = materialize(df, "ordered")  # read three times below
-    cuts = sorted(set(df.select(F.percentile_approx(order, [i / LANES for i in range(1, LANES)], 1000)).first()[0] or []))
-    lane = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(order).cast("double"))) if cuts else F.lit(0)
+    cuts = F.percentile_approx(F.col(order).cast("double"), [i / LANES for i in range(1, LANES)], 1000).alias("__cuts")
+    below = lambda held: F.size(F.filter(F.array_distinct(held), lambda c: c <= F.col(order).cast("double")))
+    if by:
+        laned = df.join(df.groupBy(*by).agg(cuts), list(by)).withColumn("__lane", below(F.col("__cuts"))).drop("__cuts")
+    else:
+        held = df.agg(cuts).first()[0] or []
+        laned = df.withColumn("__lane", below(F.array(*[F.lit(float(c)) for c in held])) if held else F.lit(0))
     turn = F.desc if descending else F.asc
-    laned = df.withColumn("__lane", lane)
     own = Window.partitionBy(*by, "__lane").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = laned.withColumns({f"cum_{c}": F.sum(c).over(own) for c in sums})
     before = Window.partitionBy(*by).orderBy(turn("__lane")).rowsBetween(Window.unboundedPreceding, -1)

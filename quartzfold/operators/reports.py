@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quartzfold.session import materialize
+
 
 def mean_sd_best(df: DataFrame, metrics: Sequence[str], by: Sequence[str], digits: int = 3) -> DataFrame:
     """Mean and sample deviation per group and metric, and whether the rounded mean is the metric's best."""
@@ -49,3 +51,38 @@ def winners_by(df: DataFrame, metric: str, group: str, config: str) -> DataFrame
     g = df.groupBy(group, config).agg(F.max(metric).alias("top"), F.avg(metric).alias("mean"))
     w = lambda c: Window.partitionBy(group).orderBy(F.desc_nulls_last(F.round(c, 9)), config)
     return g.withColumns({"a": F.first(config).over(w("top")), "b": F.first(config).over(w("mean"))}).select(group, F.col("a").alias("by_max"), F.col("b").alias("by_mean")).distinct()
+
+
+def report_folds(df: DataFrame, folds: int = 5) -> DataFrame:
+    """The rows of a report whose ``fold`` is a number, as INT; other folds than 1 .. ``folds`` raise."""
+    rows = df.withColumn("fold", F.col("fold").try_cast("int")).where("fold is not null")
+    found = sorted(r[0] for r in rows.select("fold").distinct().collect())
+    if found != list(range(1, folds + 1)):
+        raise ValueError(f"the report has folds {found}")
+    return rows
+
+
+def check_rates(columns: Sequence[str], rates: Sequence[float], metrics: Sequence[str]) -> None:
+    """Raises unless every metric has a column at every rate."""
+    missing = [f"{m}_at_{r:g}" for r in rates for m in metrics if f"{m}_at_{r:g}" not in columns]
+    if missing:
+        raise ValueError(f"the report lacks {missing}")
+
+
+def merge_stages(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of two stages side by side; a row that only one of them has, or has twice, raises."""
+    joined = materialize(a.join(b, list(keys), "full"), "merged")
+    n = joined.count()
+    if not n == a.count() == b.count() or joined.select(*keys).distinct().count() != n:
+        raise ValueError("the stages do not hold the same rows")
+    return joined
+
+
+def position(df: DataFrame, metric: str, by: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """Adds ``place``: the position (from 1) within the group by falling metric, nulls last."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(metric), *ties)))
+
+
+def decimal_text(column: str, digits: int = 3):
+    """A number as text with a decimal comma; null stays null."""
+    return F.translate(F.format_string(f"%.{digits}f", F.col(column)), ".", ",")

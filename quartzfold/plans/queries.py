@@ -7,10 +7,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quartzfold.functions.ordering import hash_of, hash_rank
 from quartzfold.operators import density, evaluation, experiment, features, models, neighbors, reports, sampling, scores, statistics, validity
 from quartzfold.plans import pipeline
 from quartzfold.session import materialize
@@ -169,6 +172,20 @@ def stratified_quota_sample(spark, d):
     return sampling.quota_sample(base(spark, d).where("source is not null"), "source", 1000).select("row_id", "source")
 
 
+@query(f"WITH {BASE}, r AS (SELECT row_id, Class, row_number() OVER (PARTITION BY Class ORDER BY md5('42:' || row_id), row_id) AS rank FROM base) SELECT row_id, Class FROM r WHERE Class = 1 OR rank <= 2000")
+def plot_sample(spark, d):
+    """All frauds and at most 2 000 legitimate rows, as they are drawn for plots."""
+    b = base(spark, d)
+    return hash_rank(b.where("Class = 0").select("row_id", "Class"), [], 42).where("rank <= 2000").drop("rank").unionByName(b.where("Class = 1").select("row_id", "Class"))
+
+
+@query(f"WITH {VECTORS} SELECT id, CASE WHEN CAST('0x' || substr(md5('7:' || id), 1, 8) AS BIGINT) / 4294967296.0 < 0.3 THEN -1 ELSE label END AS label FROM vec")
+def noise_labels(spark, d):
+    """Labels of which a share of 0.3, by hash, is made noise."""
+    share = F.conv(F.substring(hash_of(7, "id"), 1, 8), 16, 10).cast("bigint") / 4294967296.0
+    return vectors(spark, d).select("id", F.when(share < 0.3, -1).otherwise(F.col("label")).alias("label"))
+
+
 # --- features and scaling ----------------------------------------------------------
 
 HOUR = "sin(2 * pi() * ((Time % 86400) / 3600) / 24)"
@@ -515,6 +532,31 @@ def class_location_stats(spark, d):
     return rounded(b.groupBy("Class").agg(F.count("*").alias("n"), F.avg("Amount").alias("mean"), F.max("Amount").alias("most")).join(middle, "Class"), "median", "mean")
 
 
+STEP = 1.0
+PLANE = [(float(a), float(b)) for a in range(-12, 7) for b in range(-12, 7)]
+
+
+@query(f"""WITH {BASE}, s AS (SELECT Class, count(*) AS n, var_samp(V14) AS xx, var_samp(V10) AS yy, covar_samp(V14, V10) AS xy, pow(count(*), -1 / 3) AS h2 FROM base GROUP BY Class),
+p AS (SELECT px, py FROM (SELECT unnest(range(-12, 7))::DOUBLE AS px), (SELECT unnest(range(-12, 7))::DOUBLE AS py)),
+k AS (SELECT b.Class, px, py, sum(exp(-(yy * pow(px - V14, 2) - 2 * xy * (px - V14) * (py - V10) + xx * pow(py - V10, 2)) / (xx * yy - xy * xy) / h2 / 2)) / (2 * pi() * any_value(n) * any_value(h2) * sqrt(any_value(xx) * any_value(yy) - any_value(xy) * any_value(xy))) AS density FROM base b JOIN s ON b.Class = s.Class, p GROUP BY ALL),
+l AS (SELECT *, sum(density) OVER (PARTITION BY Class ORDER BY density DESC, px, py ROWS UNBOUNDED PRECEDING) / sum(density) OVER (PARTITION BY Class) AS level FROM k),
+a AS (SELECT round(V14) AS px, round(V10) AS py, count(*) AS n FROM base GROUP BY ALL)
+SELECT Class, region, count(*) FILTER (WHERE level <= region) AS points, round(coalesce(sum(a.n) FILTER (WHERE level <= region), 0) / (SELECT count(*) FROM base), 6) AS share
+FROM l LEFT JOIN a ON l.px = a.px AND l.py = a.py, (SELECT unnest([0.5, 0.8, 0.95]) AS region) GROUP BY ALL""")
+def density_region_share(spark, d):
+    """Share of all rows in each class's regions of highest density of V14 and V10."""
+    b = base(spark, d).select("Class", "V14", "V10")
+    levels = statistics.density_levels(materialize(statistics.kde_plane(b, "V14", "V10", "Class", PLANE), "plane"), "Class")
+    return rounded(statistics.region_share(b.select(F.col("V14").alias("px"), F.col("V10").alias("py")), levels, "Class", STEP, [0.5, 0.8, 0.95]), "share")
+
+
+@query()
+def spearman_p_value(spark, d):
+    """Rank correlation of validity and average precision with its p-value."""
+    n, rho = statistics.spearman(history(spark, d), "dbcv_score", "auprc").first()
+    return rounded(spark.createDataFrame([(n, rho, statistics.spearman_p(rho, n))], "n bigint, rho double, p_value double"), "rho", "p_value")
+
+
 # --- density, validity, condensed trees ---------------------------------------------------------
 
 MU = 5
@@ -567,6 +609,41 @@ def disco_samples(spark, d):
     return rounded(_one_group(vectors(spark, d), lambda ids, x, label: pa.table({"id": ids, "disco": validity.disco_samples(x, np.where(label == 9, -1, label), MU)}), "id bigint, disco double"), "disco")
 
 
+@query()
+def dbscan_labels(spark, d):
+    """DBSCAN of every vector: components of core vectors, border vectors to their nearest core, -1 elsewhere."""
+
+    def run(ids, x, label):
+        found, core = density.dbscan(x, 0.9, MU)
+        return pa.table({"id": ids, "cluster": np.where(found >= 0, ids[found], -1), "core": core})
+
+    return _one_group(vectors(spark, d), run, "id bigint, cluster bigint, core boolean")
+
+
+@query()
+def dbscan_grid(spark, d):
+    """A grid of radius and density with noise as alert, label 9 being the positives."""
+    grid = experiment.grid(spark, {"eps": [0.8, 0.9, 1.0], "min_samples": [5, 10]}).select("combo_id", F.col("eps").cast("double"), F.col("min_samples").cast("int"))
+    each = [r.asDict() for r in grid.collect()]
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("vector").to_pylist(), float)
+        c = t.column("combo")[0].as_py()
+        label, _ = density.dbscan(x, c["eps"], c["min_samples"])
+        return pa.table({"combo_id": np.full(len(x), c["combo_id"], np.int32), "eps": np.full(len(x), c["eps"]), "min_samples": np.full(len(x), c["min_samples"], np.int32), "p": (label < 0).astype(np.int32), "Class": (t.column("label").to_numpy() == 9).astype(np.int32)})
+
+    combos = F.explode(F.array(*[F.struct(*[F.lit(c[k]).alias(k) for k in ("combo_id", "eps", "min_samples")]) for c in each])).alias("combo")
+    x = vectors(spark, d).select("id", "vector", "label", combos).groupBy("combo").applyInArrow(kernel, "combo_id int, eps double, min_samples int, p int, Class int")
+    return rounded(evaluation.confusion(x, "p", "Class", ["combo_id", "eps", "min_samples"]), "precision", "recall", "f1")
+
+
+@query()
+def kmeans_partition(spark, d):
+    """Vectors in ten clusters by k-means, a partition to measure validity on."""
+    v = vectors(spark, d).withColumn("features", array_to_vector("vector"))
+    return KMeans(k=10, seed=42, maxIter=20).fit(v).transform(v).select("id", F.col("prediction").alias("cluster"))
+
+
 @query()
 def disco_score(spark, d):
     """Mean DISCO score."""
@@ -907,3 +984,28 @@ def outer_long_table(spark, d):
     a = h.groupBy(F.col("fold").cast("string").alias("fold")).agg(F.count("*").alias("n"), F.avg("auprc").alias("auprc")).withColumn("kind", F.lit("trial"))
     b = h.agg(F.count("*").alias("n"), F.avg("auprc").alias("auprc")).withColumns({"fold": F.lit("mean"), "kind": F.lit("summary")})
     return rounded(a.unionByName(b).select("kind", "fold", "n", "auprc"), "auprc")
+
+
+@query(f"""WITH g AS (SELECT run_id, {CONFIG} AS config, round(avg(auprc), 8) AS auprc FROM hdbscan_grid_results_by_fold GROUP BY ALL)
+SELECT run_id, config, auprc, CAST(row_number() OVER (PARTITION BY run_id ORDER BY auprc DESC NULLS LAST, config) AS INTEGER) AS place FROM g WHERE config IS NOT NULL""")
+def ranking_position(spark, d):
+    """Every configuration's position in its run by mean average precision."""
+    g = rounded(_config(spark, d).where("config is not null").groupBy("run_id", "config").agg(F.avg("auprc").alias("auprc")), "auprc", digits=8)
+    return reports.position(g, "auprc", ["run_id"], ["config"])
+
+
+@query("SELECT CAST(fold AS INTEGER) AS fold, replace(printf('%.3f', round(avg(auprc), 6)), '.', ',') AS auprc FROM hdbscan_grid_results_by_fold WHERE fold IS NOT NULL GROUP BY fold")
+def report_texts(spark, d):
+    """The folds' rows of a report that has a summary row too, numbers as text."""
+    h = history(spark, d).where("fold is not null")
+    rows = h.groupBy(F.col("fold").cast("string").alias("fold")).agg(F.avg("auprc").alias("auprc")).unionByName(h.agg(F.avg("auprc").alias("auprc")).withColumn("fold", F.lit("mean")))
+    return reports.report_folds(rounded(rows, "auprc")).select("fold", reports.decimal_text("auprc").alias("auprc"))
+
+
+@query(f"""WITH {SUMMARY}, b AS (SELECT *, max(auprc) OVER (PARTITION BY run_id) AS best FROM s), c AS (SELECT run_id, combo_id FROM s QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY auprc DESC NULLS LAST, combo_id) = 1)
+SELECT b.run_id, b.combo_id, b.auprc, b.combo_id = c.combo_id AS chosen FROM b JOIN c ON b.run_id = c.run_id WHERE b.auprc >= best - 0.01 - 1e-12""")
+def near_best_configurations(spark, d):
+    """Configurations within 0.01 of their run's best, and which of them is chosen."""
+    x = _summary(spark, d).select("run_id", "combo_id", "auprc")
+    top = reports.position(x, "auprc", ["run_id"], ["combo_id"]).where("place = 1").select("run_id", F.col("combo_id").alias("first"), F.col("auprc").alias("best"))
+    return x.join(top, "run_id").where(F.col("auprc") >= F.col("best") - 0.01 - 1e-12).select("run_id", "combo_id", "auprc", (F.col("combo_id") == F.col("first")).alias("chosen"))
