@@ -72,6 +72,7 @@ PRODUCT = re.compile(rf"(?<![\w-])(?:(?:SKU[^\S\n]+)?[^\W\d_]\w*-\d+{GOODS}{{1,6
 CODE = re.compile(r"\w-\d|SKU")
 WORD = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
+CELLS = re.compile(r"[|;:\t]")
 DIGITS = re.compile(r"\d")
 ELIDED = re.compile(r"(?<![\w-])[cdjlmnst](?=['’][^\W\d_])", re.I)
 NUMERIC = re.compile(r"[\s\d.,/%+–-]*\d[\s\d.,/%+–-]*")
@@ -79,9 +80,9 @@ NUMERIC = re.compile(r"[\s\d.,/%+–-]*\d[\s\d.,/%+–-]*")
 
 def _is_roll(piece: str) -> bool:
     """A roll of names: items parted by semicolons, nearly all of capitalised words only."""
-    items = [i.split() for i in piece.split(";")]
-    if len(items) < 3:
+    if piece.count(";") < 2:
         return False
+    items = [i.split() for i in piece.split(";")]
     names = sum(1 for i in items if i and all(w[:1].isupper() for w in i[-2:]))
     return names >= 0.7 * len(items)
 
@@ -97,41 +98,44 @@ def _is_names(lines: list[str]) -> bool:
     return names >= 0.7 * len(lines)
 
 
-def _runs(pieces: list[str]) -> Iterator[tuple[str, list[str]]]:
-    """Pieces in a row that are measured together: (kind, pieces).
+def _runs(pieces: list[str]) -> Iterator[tuple[str, list[str], list[str]]]:
+    """Pieces in a row that are measured together: (kind, pieces, words).
 
     A run is of lines without an end of sentence ("lines"), or of sentences too
     short to be measured ("sentences"). Interjections and remarks in brackets,
     rows of tables and items of agendas stand alone ("table" if not measured).
     """
-    run, before = [], ""
+    run, held, before = [], [], ""
     for i, piece in enumerate(pieces):
-        words = WORD.findall(piece)
+        words = _words(piece)
         if not words:
             continue
         bare = piece.strip()
-        if _is_item(piece) or _is_table(piece, words) or _heads(pieces, i):
+        last = bare[-1]
+        if (bare[0].isdigit() and _is_item(piece)) or (DIGITS.search(piece) and _is_table(piece, words)) or ("|" in piece and _heads(pieces, i)):
             kind = "table"
-        elif bare[-1] in ")]" or bare[0] in "([–—-":
+        elif last in ")]" or bare[0] in "([–—-":
             kind = "piece"
-        elif bare[-1] not in ".!?…:" and len(words) <= SHORT and not _is_roll(piece):
+        elif len(words) <= SHORT and last not in ".!?…:" and not _is_roll(piece):
             kind = "lines"
         else:
             kind = "sentences" if len(words) < LEAST_WORDS else "piece"
         if run and (kind != before or kind in ("table", "piece")):
-            yield before, run
-            run = []
+            yield before, run, held
+            run, held = [], []
         run.append(piece)
+        held += words
         before = kind
     if run:
-        yield before, run
+        yield before, run, held
 
 
 def _is_table(piece: str, words: list[str]) -> bool:
-    """A row of a table: most of its cells, or of its words, are numbers."""
-    cells = [c for c in re.split(r"[|;:\t]", re.sub(r"^\s*\d+[.)]\s", "", piece)) if c.strip()]
-    numbers = sum(NUMERIC.fullmatch(c) is not None for c in cells)
-    return (len(cells) > 1 and numbers >= len(cells) / 2) or sum(w.isdigit() for w in words) > len(words) / 2
+    """A row of a table: most of its cells, or of its words, are numbers; without a digit it is none."""
+    if sum([w.isdigit() for w in words]) > len(words) / 2:
+        return True
+    cells = [c for c in CELLS.split(re.sub(r"^\s*\d+[.)]\s", "", piece)) if c.strip()]
+    return len(cells) > 1 and sum([NUMERIC.fullmatch(c) is not None for c in cells]) >= len(cells) / 2
 
 
 def _heads(pieces: list[str], i: int) -> bool:
@@ -149,38 +153,33 @@ PLACES = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(PHRASE)],
 #: Hashes of words seen by this process, forgotten when there are too many.
 SEEN: dict[str, int] = {}
 MOST_SEEN = 500_000
+#: The last bits of a hash tell function words and numbers.
+FUNCTION, NUMBER = 1, 2
+
+
+def _hash(word: str) -> int:
+    h = xxhash.xxh3_64_intdigest(DIGITS.sub("0", word)) & ~3
+    SEEN[word] = h = h | (FUNCTION if len(word) > 1 and word in FUNCTION_WORDS else 0) | (NUMBER if word.isdigit() else 0)
+    return h
 
 
 def _hashes(words: list[str]) -> np.ndarray:
     if len(SEEN) > MOST_SEEN:
         SEEN.clear()
-    out = []
-    for w in words:
-        h = SEEN.get(w)
-        if h is None:
-            h = SEEN[w] = xxhash.xxh3_64_intdigest(DIGITS.sub("0", w))
-        out.append(h)
-    return np.array(out, np.uint64)
+    seen = SEEN
+    return np.array([seen[w] if w in seen else _hash(w) for w in words], np.uint64)
 
 
-def phrases(words: list[str]) -> np.ndarray:
-    """Hashes of all phrases of a row of words, in order; digits count as 0."""
+def phrases(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all phrases of a row of words, in order, and which have no function word and not only numbers; digits count as 0."""
     if len(words) < PHRASE:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     h = _hashes(words)
     n = len(words) - PHRASE + 1
-    return sum(h[k : k + n] * PLACES[k] for k in range(PHRASE)).view(np.int64)
-
-
-def listlike(words: list[str]) -> np.ndarray:
-    """Which phrases have no function word, and not only numbers."""
-    if len(words) < PHRASE:
-        return np.zeros(0, bool)
-    n = len(words) - PHRASE + 1
-    function = np.cumsum([0, *[len(w) > 1 and w in FUNCTION_WORDS for w in words]])
-    number = np.cumsum([0, *[w.isdigit() for w in words]])
-    at = np.arange(n)
-    return (function[at + PHRASE] == function[at]) & (number[at + PHRASE] - number[at] < PHRASE)
+    at, flag = np.arange(n), (h & np.uint64(3)).astype(np.int8)
+    function, number = (np.r_[0, np.cumsum(flag & f != 0)] for f in (FUNCTION, NUMBER))
+    own = (function[at + PHRASE] == function[at]) & (number[at + PHRASE] - number[at] < PHRASE)
+    return sum(h[k : k + n] * PLACES[k] for k in range(PHRASE)).view(np.int64), own
 
 
 def measure(text: str | None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
@@ -217,9 +216,8 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
                 lines.append(rest)
         text = "\n".join(lines)
     total, doubt = listed, []
-    for kind, run in _runs(PIECES.split(text)):
-        piece = " ".join(run)
-        words = _words(piece)
+    for kind, run, words in _runs(PIECES.split(text)):
+        piece = run[0] if len(run) == 1 else " ".join(run)
         # Letters parted by marks are one word.
         n = len(words) if sum([len(w) == 1 for w in words]) <= len(words) / 2 else max(1, len(piece.split()))
         total += n
@@ -242,7 +240,7 @@ def measure(text: str | None) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
         if function < FEW or recur >= OFTEN:
             listed += n
         elif function < SOME / 2 or (recur >= SOMETIMES and function < SOME):
-            page, own = phrases(words), listlike(words)
+            page, own = phrases(words)
             if own.sum() >= LISTLIKE * len(own):
                 doubt.append((n, page[own]))
     return total, listed, doubt
@@ -262,8 +260,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, all_, places, marked = [], [], [], []
         for t in b.column("text").to_pylist():
             r = measure(t)
-            words = _words(t or "")
-            page, own = phrases(words), np.flatnonzero(listlike(words))
+            page, own = phrases(_words(t or ""))
+            own = np.flatnonzero(own)
             rows.append(r)
             # A host counts once for a phrase, however often a page has it.
             all_.append(np.unique(np.concatenate([page, *[p for _, p in r[2]]])))
