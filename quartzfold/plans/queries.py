@@ -848,13 +848,12 @@ def _search(spark, d, kind, values):
     return rounded(m, "precision", "recall", "f1", "average_precision")
 
 
-@query()
+# Hundreds of distributed fits: whole searches are run by name, not with the registered queries.
 def rf_search(spark, d):
     """Every combination of the forest's grid on every inner fold."""
     return _search(spark, d, "forest", experiment.FOREST_GRID)
 
 
-@query()
 def gbt_search(spark, d):
     """Every combination of the boosted model's grid on every inner fold."""
     return _search(spark, d, "boost", experiment.BOOST_GRID)

@@ -15,6 +15,6 @@ def test_registered_models_are_those_of_the_grids(spark, monkeypatch):
     forest, boost = (models.build(kind, params) for kind, params in asked)
     assert forest.getNumTrees() >= 100 and forest.getMaxDepth() == 30 and boost.getMaxIter() >= 100
     asked.clear()
-    queries.QUERIES["rf_search"](spark, "/root/testdata/sf0.001")
-    queries.QUERIES["gbt_search"](spark, "/root/testdata/sf0.001")
+    queries.rf_search(spark, "/root/testdata/sf0.001")
+    queries.gbt_search(spark, "/root/testdata/sf0.001")
     assert asked == [("forest", 162), ("boost", 81)]
