@@ -102,12 +102,12 @@ def p2_similar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Queries of p2_similar, pairs found and, by comparing each query with all transactions, true; recall by distance.
+    """Probes, pairs found for them and, by comparing each probe with all transactions, true; recall by distance.
 
     A found transaction counts if it is no farther than the true one of the last place.
     """
-    vectors = materialize(_vectors(spark, d), "vectors")
-    asked = vectors.where("id % 20 = 0")
+    vectors = _vectors(spark, d)
+    asked = vectors.join(table(spark, d, "knn_probe").select(F.col("row_id").alias("id")).distinct(), "id", "left_semi")
     found, true = hashing.similar(vectors, asked, VECTOR), hashing.exact(vectors, asked, VECTOR, 5)
     if true is None:
         return spark.createDataFrame([], "queries bigint, true_pairs bigint, found_pairs bigint, recall double")
