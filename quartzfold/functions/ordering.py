@@ -44,13 +44,15 @@ def running(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], d
 
     ``order`` must be numeric and unique within a group: aggregate ties first.
     Every group is cut into lanes at quantiles of its own, so that a group of
-    another range than the rest does not fall into one lane.
+    another range than the rest does not fall into one lane. The quantiles
+    depend on the order in which partitions are merged, so they are taken once:
+    sums and offsets by different lanes would not fit.
     """
     df = materialize(df, "ordered")  # read three times below
     cuts = F.percentile_approx(F.col(order).cast("double"), [i / LANES for i in range(1, LANES)], 1000).alias("__cuts")
     below = lambda held: F.size(F.filter(F.array_distinct(held), lambda c: c <= F.col(order).cast("double")))
     if by:
-        laned = df.join(df.groupBy(*by).agg(cuts), list(by)).withColumn("__lane", below(F.col("__cuts"))).drop("__cuts")
+        laned = df.join(materialize(df.groupBy(*by).agg(cuts), "cuts"), list(by)).withColumn("__lane", below(F.col("__cuts"))).drop("__cuts")
     else:
         held = df.agg(cuts).first()[0] or []
         laned = df.withColumn("__lane", below(F.array(*[F.lit(float(c)) for c in held])) if held else F.lit(0))
